@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from ledgerloom.plans import holdings, search, series
+
+PARTS = (search, series, holdings)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in PARTS for name, (f, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql is not None}
