@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import holdings, search, series
+from ledgerloom.plans import catalog, holdings, search, series
 
-PARTS = (search, series, holdings)
+PARTS = (search, series, holdings, catalog)
 
 
 def queries() -> dict:
