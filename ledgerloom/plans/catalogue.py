@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import catalog, holdings, search, series
+from ledgerloom.plans import catalog, holdings, scoring, search, series
 
-PARTS = (search, series, holdings, catalog)
+PARTS = (search, series, holdings, catalog, scoring)
 
 
 def queries() -> dict:
