@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import catalog, holdings, scoring, search, series
+from ledgerloom.plans import catalog, holdings, knowledge, scoring, search, series
 
-PARTS = (search, series, holdings, catalog, scoring)
+PARTS = (search, series, holdings, catalog, scoring, knowledge)
 
 
 def queries() -> dict:
