@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,17 @@ def local_session(cores: int = 8, app: str = "ledgerloom") -> SparkSession:
     )
 
 
+def ready(spark: SparkSession) -> None:
+    """Let Python workers started from now on import this package where the driver found it."""
+    root = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where it is unset, as in tests, a local folder is made and set.
     """
+    ready(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jsc = spark.sparkContext._jsc.sc()
