@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import catalog, holdings, knowledge, scoring, search, series
+from ledgerloom.plans import catalog, holdings, knowledge, scoring, search, series, streaming
 
-PARTS = (search, series, holdings, catalog, scoring, knowledge)
+PARTS = (search, series, holdings, catalog, scoring, knowledge, streaming)
 
 
 def queries() -> dict:

@@ -6,6 +6,11 @@ arrays are zipped and exploded. Files are read whole, one payload a row, so a fi
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,14 +211,8 @@ def dated_links(html: Column, pattern: str = r'href="([^"]*?(20\d{2})(\d{2})(\d{
 def decode_document(raw: Column) -> Column:
     """Text of document bytes: the first of UTF-8, CP949 and UTF-16 that decodes without error; else UTF-8
     with what is wrong replaced. A zip holds the document as its first .xml member."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(s: pd.Series) -> pd.Series:
-        import io
-        import re
-        import zipfile
-
         def one(b):
             if b is None:
                 return None
