@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.llm.words import WordHasher, mix64, shingles, slices
 
@@ -209,6 +210,7 @@ def find_contamination(
     schema = (
         f"doc_id {kind}, item_id {item_kind}, start_word bigint, n_words bigint, similarity double, hamming int"
     )
+    item_type = to_arrow_type(bench.schema["item_id"].dataType)
     blocks = max(1, -(-bench.count() // block_items))
     out = None
     for k in range(blocks):
@@ -227,7 +229,7 @@ def find_contamination(
                     yield pa.RecordBatch.from_arrays(
                         [
                             b.column("doc_id").take(pa.array(place)),
-                            pa.array([items.ids[i] for i in item]),
+                            pa.array([items.ids[i] for i in item], item_type),
                             pa.array(start, pa.int64()),
                             pa.array(n, pa.int64()),
                             pa.array(sim, pa.float64()),
