@@ -26,7 +26,9 @@ WITH RECURSIVE shard AS (
     SELECT t, i, taken, next, j, (off[i + 1] + j * skip[i + 1]) % {size} AS s
     FROM (
       SELECT t, i, taken, next, off, skip,
-        list_filter(range(next[i + 1], {size}), lambda j: NOT list_contains(taken, (off[i + 1] + j * skip[i + 1]) % {size}))[1] AS j
+        coalesce(
+          list_filter(range(next[i + 1], least(next[i + 1] + 32, {size})), lambda j: NOT list_contains(taken, (off[i + 1] + j * skip[i + 1]) % {size}))[1],
+          list_filter(range(next[i + 1], {size}), lambda j: NOT list_contains(taken, (off[i + 1] + j * skip[i + 1]) % {size}))[1]) AS j
       FROM (SELECT t, (t + 1) % {n} AS i, taken, next, off, skip FROM fill, pref WHERE t + 1 < {size})
     )
   )
@@ -88,11 +90,11 @@ WITH d AS (
     list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ), win AS (
-  SELECT r, unnest(range(1, greatest(len(w) - 1, 1))) AS i, w FROM d
+  SELECT r, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: {{'i': i, 'a': w[i], 'b': w[i + 1], 'c': w[i + 2]}})) AS x FROM d
 ), grams AS (
-  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM win
+  SELECT r, list(x.i) AS ats FROM win GROUP BY r, x.a, x.b, x.c HAVING count(*) > 1
 ), cover AS (
-  SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM grams, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY r
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM (SELECT r, unnest(ats) AS i FROM grams), (VALUES (0), (1), (2)) v(k) GROUP BY r
 ), line AS (
   SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines
   FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d)

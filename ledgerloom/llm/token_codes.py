@@ -22,7 +22,7 @@ id are all written, in order of text; an empty table gives an empty result; othe
 from __future__ import annotations
 
 import json
-import re
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.exprs import let
-from ledgerloom.llm.words import slices
+from ledgerloom.llm.words import mix64, slices
 from ledgerloom.session import work_path
 
 CHUNK_BITS = 8
@@ -119,83 +119,152 @@ class Reader:
 class Encoder:
     """Texts to ids with a tokenizers file of byte-level BPE.
 
-    Such a tokenizer never joins a token across a space that follows a character that is not white space, so texts
-    are cut there, and each distinct piece is encoded once and remembered (at most
-    CACHE_PIECES). The result is that of encoding the whole text; files of another kind are not
-    cut, texts go to the library whole.
+    Such a tokenizer never joins a token across a space that follows a character that is not white
+    space, so texts are cut there, each distinct piece is encoded once and remembered, and a
+    text's ids are put together from its pieces. The result is that of encoding the whole text; with a
+    file of another kind texts are not cut. Pieces are found and looked up as arrays, by 64-bit hashes of
+    their bytes; once more than CACHE_PIECES are remembered, all but the half as many that were
+    used most are forgotten (about 50 bytes each).
     """
 
-    CACHE_PIECES = 300_000
+    CACHE_PIECES = 1_000_000
+    JOINED = 1_000
+    _kept: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The encoder of a file that this worker keeps from task to task."""
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
 
     def __init__(self, path: str):
+        # workers share the cores already
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cut = _cuts_at_spaces(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]]
-        for p in parts[1:]:
-            # no cut where white space comes before the space
-            if out[-1] and not out[-1][-1].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return out
+        self.line = self.encode(["\n"])[0][0]
+        # of every known piece, in order of its hash: hash, place in the table, number of ids, uses
+        self.hash, self.first = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.size, self.used = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.table, self.end = np.zeros(4096, np.uint32), 0
+        self.byte = mix64(np.arange(1, 257, dtype=np.uint64))
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each).
+
+        Pieces without white space but for a space at their start go to the library as lines, JOINED
+        at a time, which spares it the setting up of a result for each: a line break before
+        anything but white space is a token by itself, and none joins across it.
+        """
+        plain = np.array([w[0] != "\n" and not w[-1].isspace() and len(w.split()) == 1 and not w[:2].isspace() for w in pieces], bool)
+        lined = [w for w, p in zip(pieces, plain.tolist(), strict=True) if p]
+        lots = ["\n".join(lined[i : i + self.JOINED]) + "\n" for i in range(0, len(lined), self.JOINED)]
+        ids = np.concatenate([np.array(g, np.uint32) for g in self.encode(lots)] or [np.empty(0, np.uint32)])
+        ends = np.flatnonzero(ids == self.line)
+        rest = self.encode([w for w, p in zip(pieces, plain.tolist(), strict=True) if not p])
+        size, first = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        size[plain] = np.diff(ends, prepend=-1) - 1
+        first[plain] = np.concatenate(([-1], ends))[: len(ends)] + 1
+        size[~plain] = [len(g) for g in rest]
+        first[~plain] = len(ids) + np.cumsum(size[~plain]) - size[~plain]
+        ids = np.concatenate([ids, np.fromiter((i for g in rest for i in g), np.uint32)])
+        return ids[_spread(first, size)], size
+
+    def starts(self, raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Where pieces begin: at texts, and at spaces that do not follow white space."""
+        space = np.flatnonzero(raw == 32)
+        space = space[space > 0]
+        p1 = raw[space - 1]
+        p2, p3 = raw[np.maximum(space - 2, 0)], raw[np.maximum(space - 3, 0)]
+        white = (p1 <= 32) | ((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0)))
+        # U+1680, U+2000 to U+205F and U+3000: any of these blocks, so that no cut is ever wrong
+        white |= ((p3 == 0xE1) & (p2 == 0x9A)) | ((p3 == 0xE2) & ((p2 == 0x80) | (p2 == 0x81))) | ((p3 == 0xE3) & (p2 == 0x80))
+        at = np.zeros(len(raw), bool)
+        at[texts] = at[space[~white]] = True
+        return np.flatnonzero(at)
+
+    def hashes(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A polynomial of each piece's bytes, the same wherever it stands."""
+        if len(self.power) < len(raw):
+            n = max(len(raw), 1 << 20)
+            base = 0x9E3779B97F4A7C15
+            self.power, self.inverse = (np.full(n, x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+            self.power[0] = self.inverse[0] = 1
+            self.power, self.inverse = np.cumprod(self.power), np.cumprod(self.inverse)
+        h = np.add.reduceat(self.byte[raw] * self.power[: len(raw)], starts) * self.inverse[starts]
+        return mix64(h + size.astype(np.uint64))
+
+    def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        ids, size = self.encode_pieces(pieces)
+        end = self.end + len(ids)
+        self.table = _room(self.table, end)
+        self.table[self.end : end] = ids
+        first = self.end + np.cumsum(size) - size
+        self.end = end
+        at = np.searchsorted(self.hash, hashes)
+        self.hash, self.first = np.insert(self.hash, at, hashes), np.insert(self.first, at, first)
+        self.size, self.used = np.insert(self.size, at, size), np.insert(self.used, at, 0)
+
+    def forget(self) -> None:
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.CACHE_PIECES // 2])
+        take = self.table[_spread(self.first[keep], self.size[keep])]
+        self.hash, self.size, self.used = self.hash[keep], self.size[keep], self.used[keep] // 2
+        self.first = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.table, self.end = take, len(take)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each)."""
         texts = [t or "" for t in texts]
         if not self.cut:
-            got = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+            got = [np.array(g, np.uint32) for g in self.encode(texts)]
             return (np.concatenate(got) if got else np.empty(0, np.uint32)), np.array([len(g) for g in got], np.int64)
-        if len(self.code) > self.CACHE_PIECES:
-            self.reset()
-        code = self.code
-        parts = [t.split(" ") if _plain(t) else None for t in texts]
-        flat: list[int] = []
-        ends = [0]
-        for t, p in zip(texts, parts, strict=True):
-            if not t:
-                words = []
-            elif p is None:
-                words = self.pieces(t)
-            else:
-                words = [p[0], *[" " + w for w in p[1:]]] if p[0] else [" " + w for w in p[1:]]
-            try:
-                flat += [code[w] for w in words]
-            except KeyError:
-                new = list({w for w in words if w not in code})
-                for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-                    code[w] = len(self.ids)
-                    self.ids.append(np.array(e.ids, np.uint32))
-                flat += [code[w] for w in words]
-            ends.append(len(flat))
-        size = np.array([len(x) for x in self.ids], np.int64)
-        table = np.concatenate(self.ids) if self.ids else np.empty(0, np.uint32)
-        first = np.cumsum(size) - size
-        at = np.array(flat, np.int64)
-        n = size[at] if len(at) else np.empty(0, np.int64)
+        whole = [t.encode("utf-8", "replace") for t in texts]
+        length = np.array([len(t) for t in whole], np.int64)
+        data = b"".join(whole)
+        if not data:
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        raw = np.frombuffer(data, np.uint8)
+        begin = np.cumsum(length) - length
+        starts = self.starts(raw, begin[length > 0])
+        size = np.diff(starts, append=len(raw))
+        h, where, which = np.unique(self.hashes(raw, starts, size), return_index=True, return_inverse=True)
+        if len(self.hash) > self.CACHE_PIECES:
+            self.forget()
+        at = np.searchsorted(self.hash, h)
+        new = np.ones(len(h), bool)
+        new[at < len(self.hash)] = self.hash[at[at < len(self.hash)]] != h[at < len(self.hash)]
+        if new.any():
+            places = where[new]
+            ends = (starts[places] + size[places]).tolist()
+            self.learn(h[new], [data[a:z].decode() for a, z in zip(starts[places].tolist(), ends, strict=True)])
+            at = np.searchsorted(self.hash, h)
+        self.used[at] += np.bincount(which, minlength=len(h)).astype(np.int32)
+        code = at[which]
+        n = self.size[code].astype(np.int64)
         upto = np.concatenate(([0], np.cumsum(n)))
-        # ids of piece k stand at first[at[k]] .. + n[k]
-        take = np.repeat(first[at] - upto[:-1], n) + np.arange(upto[-1]) if len(at) else np.empty(0, np.int64)
-        return table[take], np.diff(upto[np.array(ends)])
+        # pieces of a text: those that start in it
+        edge = upto[np.searchsorted(starts, np.append(begin, len(raw)))]
+        return self.table[_spread(self.first[code], n)], np.diff(edge)
 
 
-_ODD = re.compile(r"\s ")
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x, or a longer copy if it has not n places."""
+    return x if len(x) >= n else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
 
-def _plain(text: str) -> bool:
-    """No space of the text follows white space."""
-    return not ("  " in text or "\n " in text or "\t " in text) and _ODD.search(text) is None
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0] .. first[0] + n[0] - 1, first[1] .., one after the other."""
+    n = n.astype(np.int64)
+    upto = np.cumsum(n)
+    return np.repeat(first - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)
 
 
 def _cuts_at_spaces(path: str) -> bool:
@@ -258,7 +327,7 @@ def write_documents(
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of(tokenizer)
         part, seg, ids, sizes, held, n = 0, 0, [], [], [], 0
 
         def segment() -> pa.RecordBatch:
