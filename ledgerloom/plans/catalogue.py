@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import catalog, holdings, knowledge, scoring, search, series, streaming
+from ledgerloom.plans import analysis, catalog, holdings, knowledge, scoring, search, series, streaming
 
-PARTS = (search, series, holdings, catalog, scoring, knowledge, streaming)
+PARTS = (search, series, holdings, catalog, scoring, knowledge, analysis, streaming)
 
 
 def queries() -> dict:
