@@ -44,6 +44,13 @@ def normalize(text: Column, nfkc: bool = True) -> Column:
     return tidy(unicode_form(text) if nfkc else text)
 
 
+def _seen(text: Column) -> Column:
+    """What `tidy` does as far as tokens can tell: white space and the replacement character part
+    tokens anyway, and most texts hold nothing invisible and no entity."""
+    clean = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), ENTITY, " ")
+    return F.when(text.rlike(f"{INVISIBLE}|&[a-z#]"), clean).otherwise(text)
+
+
 def tokens(text: Column, ngram: bool = True, keep_word: bool = False, nfkc: bool = False) -> Column:
     """Words and identifiers in order. Hangul runs become character pairs (and the run itself with
     keep_word, if longer than a pair); identifiers stay whole and are also split at . _ - /"""
@@ -60,7 +67,8 @@ def tokens(text: Column, ngram: bool = True, keep_word: bool = False, nfkc: bool
         cut = F.concat(F.array(r), F.filter(F.split(r, r"[._\-/]+"), lambda p: (p != "") & (p != r)))
         return F.when(r.rlike(r"[._\-/]"), cut).otherwise(F.array(r))
 
-    runs = F.regexp_extract_all(F.lower(normalize(text, nfkc)), F.lit(RUN), F.lit(0))
+    text = unicode_form(text) if nfkc else text
+    runs = F.regexp_extract_all(F.lower(_seen(text)), F.lit(RUN), F.lit(0))
     return F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[가-힣]"), pairs(r)).otherwise(parts(r))))
 
 
