@@ -159,36 +159,36 @@ def mix(
 ) -> DataFrame:
     """docs, each row once per epoch that takes it, with _epoch, _block and _block_key."""
     tokens = n_tokens(F.col("text")) if tokens is None else tokens
-    based = docs.withColumns({"_tokens": tokens.cast("long"), "_rank": rank(F.col(id_col), seed)})
-    based = based.withColumn("_block", block_of(F.col("_rank")))
+    based = docs.withColumns({"__mix_tokens": tokens.cast("long"), "__mix_rank": rank(F.col(id_col), seed)})
+    based = based.withColumn("_block", block_of(F.col("__mix_rank")))
     blocks = written(
         based.groupBy(F.col(source_col).alias("source"), F.col("_block").alias("block")).agg(
-            F.sum("_tokens").alias("tokens")
+            F.sum("__mix_tokens").alias("tokens")
         ),
         "mix-blocks",
     )
     per_source = weights(blocks, target_entropy, max_repeats, total_tokens)
     plan = written(block_plan(blocks, per_source, seed), "mix-plan")
     named = plan.select(
-        F.col("source").alias("_p_source"), F.col("block").alias("_p_block"), F.col("epochs").alias("_p_epochs"),
-        F.col("extra").alias("_p_extra"), F.col("rest").alias("_p_rest"),
+        F.col("source").alias("__mix_source"), F.col("block").alias("__mix_block"), F.col("epochs").alias("__mix_epochs"),
+        F.col("extra").alias("__mix_extra"), F.col("rest").alias("__mix_rest"),
     )
     small = plan.count() <= BROADCAST_ROWS
 
     def joined(rows: DataFrame, side: DataFrame, bounded: bool) -> DataFrame:
-        on = (F.col("_block") == F.col("_p_block")) & F.col(source_col).eqNullSafe(F.col("_p_source"))
+        on = (F.col("_block") == F.col("__mix_block")) & F.col(source_col).eqNullSafe(F.col("__mix_source"))
         return rows.join(F.broadcast(side) if bounded else side, on)
 
-    whole = joined(based, named.where("_p_rest is null"), small).withColumn(
-        "_copies", F.col("_p_epochs") + F.col("_p_extra")
+    whole = joined(based, named.where("__mix_rest is null"), small).withColumn(
+        "__mix_copies", F.col("__mix_epochs") + F.col("__mix_extra")
     )
-    cut = joined(based, named.where("_p_rest is not null"), small)
-    upto = F.sum("_tokens").over(
-        W.partitionBy("_p_source", "_p_block").orderBy("_rank", id_col).rowsBetween(W.unboundedPreceding, 0)
+    cut = joined(based, named.where("__mix_rest is not null"), small)
+    upto = F.sum("__mix_tokens").over(
+        W.partitionBy("__mix_source", "__mix_block").orderBy("__mix_rank", id_col).rowsBetween(W.unboundedPreceding, 0)
     )
-    cut = cut.withColumn("_upto", upto)
-    cut = cut.withColumn("_copies", F.col("_p_epochs") + (F.col("_upto") <= F.col("_p_rest")).cast("int"))
-    both = whole.unionByName(cut.drop("_upto")).where(F.col("_copies") > 0)
-    out = both.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    cut = cut.withColumn("__mix_upto", upto)
+    cut = cut.withColumn("__mix_copies", F.col("__mix_epochs") + (F.col("__mix_upto") <= F.col("__mix_rest")).cast("int"))
+    both = whole.unionByName(cut.drop("__mix_upto")).where(F.col("__mix_copies") > 0)
+    out = both.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
     out = out.withColumn("_block_key", block_key(seed, F.col(source_col), F.col("_epoch"), F.col("_block")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_epoch", "_block", "_block_key")
