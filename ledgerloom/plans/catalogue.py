@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import analysis, answers, catalog, holdings, knowledge, scoring, search, series, streaming
+from ledgerloom.plans import analysis, answers, catalog, holdings, knowledge, scoring, search, series, streaming, upkeep
 
-PARTS = (search, series, holdings, catalog, scoring, knowledge, analysis, answers, streaming)
+PARTS = (search, series, holdings, catalog, scoring, knowledge, analysis, answers, upkeep, streaming)
 
 
 def queries() -> dict:
