@@ -219,7 +219,7 @@ def find_contamination(
         sent = spark.sparkContext.broadcast(([r.item_id for r in got], [r.text for r in got]))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, hasher = Items(*sent.value), WordHasher()
+            items, hasher = Items(*sent.value), WordHasher.of()
             if items.index is None:
                 return
             for b in slices(batches, "text"):

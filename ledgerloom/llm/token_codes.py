@@ -127,7 +127,7 @@ class Encoder:
     used most are forgotten (about 50 bytes each).
     """
 
-    CACHE_PIECES = 1_000_000
+    CACHE_PIECES = 600_000
     JOINED = 1_000
     _kept: dict[str, Encoder] = {}
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Words whose hashes a worker remembers; beyond, it forgets all and starts again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -26,6 +26,15 @@ def normal_word(word: str) -> str:
 class WordHasher:
     """Hashes of words; a word that `norm` empties gets 0 and is left out of the arrays."""
 
+    _kept: WordHasher | None = None
+
+    @classmethod
+    def of(cls) -> WordHasher:
+        """The hasher that this worker keeps from task to task and from stage to stage."""
+        if cls._kept is None:
+            cls._kept = cls()
+        return cls._kept
+
     def __init__(self, norm: Callable[[str], str] = normal_word):
         self.norm, self.known = norm, {}
 
