@@ -4,8 +4,8 @@ Each distinct text gets SKETCHES sketches. A sketch hashes the text's five-word
 labelled with its occurrence number, in an order of its own, takes the few smallest and puts them
 back in text order: two texts share a sketch if the same k-mers stand in the same order, which
 follows edit similarity, not just the sets. Texts that share a sketch of DEPTHS[0] k-mers are
-candidates. Where more than SMALL texts share one, its key is lengthened to the next depth, so
-that texts that only share a common passage part; the crowd itself is tied to one hub text.
+candidates, however many they are. Where more than SMALL texts share one, the pairs most likely to hold
+come first: those with one hub text, and those that share the key lengthened to the next depth.
 
 Candidates are verified by a banded alignment of their words: similarity = 1 - edits / longer
 length >= THRESHOLD (0.8). The band starts narrow and is widened until it is proven or has the
@@ -13,10 +13,11 @@ width of the allowed edits; the multiset of words gives a bound that spares most
 
 Work is linear in a group: exact copies are one text (by md5); a text is first compared with the hub it
 shares most sketches with; what is so joined into one component need not be compared again; then come
-the other candidates between components; then crowds at the last depth that still span components get hub
-after hub until each text of them is in the component of a hub it was compared with or has been a
-hub itself. No partner is dropped, no group is gathered in one task (members of a hub travel in
-lots of LOT), and no links or components come to the driver.
+the other candidates between components. Crowds that still span components then have all pairs of texts of
+different components looked at: a matrix product of small word counts bounds the edits of a pair from below, and
+what it leaves is verified. That is quadratic in such a crowd, but only in bounds: 2,048 counters
+a text, in lots of CROWD_LOT by CROWD_LOT. No partner is dropped, no group is gathered in one task (members of
+a hub travel in lots of LOT), and no links or components come to the driver.
 
 Cases: null text counts as empty; texts without words are compared by exact copies only;
 texts of fewer than five words have one k-mer of all their words; null ids are allowed, a class of them alone
@@ -27,11 +28,11 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.words import WordHasher, mix64, shingles, slices
@@ -43,6 +44,9 @@ DEPTHS = (3, 6, 12)
 SMALL = 8
 THRESHOLD = 0.8
 LOT = 64
+CROWD_LOT = 1_024
+#: Counters of words and of pairs of words that bound the edits of a crowd's pairs, each counted up to LEVELS.
+WORD_BINS, PAIR_BINS, LEVELS = 1_024, 1_024, 3
 #: Rows of a lookup table (two 16-byte values each) that may be broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 300_000
 
@@ -212,8 +216,8 @@ def sketch_texts(texts: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b, n): pairs with the number of keys that give them, a < b; and (key, h): the members of
-    crowds at the last depth."""
+    """(a, b, n): the first pairs to compare with the number of keys that give them, a < b; and (key, h):
+    the members of crowds at the first depth, which hold those of all others."""
     d = len(DEPTHS)
     members = sketched.select(
         "h",
@@ -238,8 +242,112 @@ def candidate_pairs(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
         both = each.unionByName(star)
         pairs = both if pairs is None else pairs.unionByName(both)
         members = crowd.drop("n", "hub")
+        if c == 0:
+            crowds = members.select(F.col(key).alias("key"), "h").distinct()
     counted = written(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), "near-pairs")
-    return counted, written(members.select(F.col(key).alias("key"), "h").distinct(), "near-crowds")
+    return counted, written(crowds, "near-crowds")
+
+
+def bags(h: np.ndarray) -> tuple[bytes, list[int]]:
+    """Counters of a text's words and pairs of words, up to LEVELS, and what is over that in each."""
+    counts, over = [], []
+    for x, bins in ((h, WORD_BINS), (shingles(h, 2), PAIR_BINS)):
+        c = np.bincount((x >> np.uint64(32)).astype(np.int64) % bins, minlength=bins)
+        low = np.minimum(c, LEVELS)
+        counts.append(low.astype(np.uint8))
+        over.append(int((c - low).sum()))
+    return np.concatenate(counts).tobytes(), over
+
+
+def text_bags(hs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
+    """(h, words, bag, over) of the texts h."""
+    sides = hs.join(first, "h").withColumnRenamed("h", "_h").withColumnRenamed("doc_id", "_first")
+    found = texts.join(sides, (texts["h"] == sides["_h"]) & texts["doc_id"].eqNullSafe(sides["_first"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher.of()
+        for b in slices(batches, "text"):
+            h, ends = hasher(b.column("text").to_pylist())
+            each = [bags(h[at:to]) for at, to in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("h"),
+                    pa.array(np.diff(ends), pa.int64()),
+                    pa.array([x for x, _ in each], pa.binary()),
+                    pa.array([x for _, x in each], pa.list_(pa.int64())),
+                ],
+                ["h", "words", "bag", "over"],
+            )
+
+    found = found.select("h", "text").mapInArrow(run, "h binary, words bigint, bag binary, over array<bigint>")
+    return found.dropDuplicates(["h"])
+
+
+def maybe_near(rows: list[dict], others: list[dict]) -> np.ndarray:
+    """True where a pair may have THRESHOLD; False only where it cannot.
+
+    A pair with e edits has at least longer - e words and longer - 1 - 2 e pairs of words in common.
+    """
+    n, m = (np.array([r["words"] for r in x]) for x in (rows, others))
+    longer = np.maximum(n[:, None], m)
+    allowed = ((1 - THRESHOLD) * longer + 1e-9).astype(np.int64)
+    ok = longer - np.minimum(n[:, None], m) <= allowed
+    if not ok.any():
+        return ok
+    a, b = (np.frombuffer(b"".join(r["bag"] for r in x), np.uint8).reshape(len(x), -1) for x in (rows, others))
+    over = [np.array([r["over"] for r in x]) for x in (rows, others)]
+    for k, (at, to, least) in enumerate(
+        ((0, WORD_BINS, longer - allowed), (WORD_BINS, WORD_BINS + PAIR_BINS, longer - 1 - 2 * allowed))
+    ):
+        common = np.minimum(over[0][:, None, k], over[1][None, :, k]).astype(np.float32)
+        for level in range(1, LEVELS + 1):
+            common += (a[:, at:to] >= level).astype(np.float32) @ (b[:, at:to] >= level).astype(np.float32).T
+        ok &= common >= least - 0.5
+    return ok
+
+
+def crowd_pairs(crowds: DataFrame, bag: DataFrame) -> DataFrame:
+    """(a, b): all pairs of texts of a crowd (key, h, r) with different components r that may be near, a < b."""
+    lots = crowds.groupBy("key").agg(F.ceil(F.count("*") / CROWD_LOT).cast("int").alias("lots"))
+    dealt = crowds.join(lots, "key").withColumn("lot", F.pmod(F.xxhash64("h"), F.col("lots")).cast("int"))
+    dealt = dealt.join(bag, "h").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    dealt = dealt.select(
+        "key", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), "lot", "h", "r", "words", "bag", "over"
+    )
+    parts = max(int(crowds.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    moved = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def found(group: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+        i, j = group[0]["i"], group[0]["j"]
+        rows, others = ([x for x in group if x["lot"] == k] for k in (i, j))
+        if not rows or not others:
+            return
+        number = {r: k for k, r in enumerate({x["r"] for x in group})}
+        ra, rb = (np.array([number[x["r"]] for x in some]) for some in (rows, others))
+        apart = ra[:, None] != rb
+        if i == j:
+            apart = np.triu(apart)
+        if apart.any():
+            for x, y in zip(*np.nonzero(apart & maybe_near(rows, others)), strict=True):
+                a, b = rows[x]["h"], others[y]["h"]
+                yield (a, b) if a < b else (b, a)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for b in batches:
+                yield from b.to_pylist()
+
+        out: list[tuple[bytes, bytes]] = []
+        for _, group in groupby(rows(), key=lambda x: (x["key"], x["i"], x["j"])):
+            for pair in found(list(group)):
+                out.append(pair)
+                if len(out) == 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return moved.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
@@ -358,29 +466,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
     roots = Roots(None).merged(written(verify(best, texts, one), "near-links"))
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-    while True:
-        # a crowd's members outside its first member's component, then its next few hubs
-        hub = crowds.groupBy("key").agg(F.min("h").alias("hub"))
-        here = roots.of(crowds.join(hub, "key").withColumn("r", F.col("h")), "r", "hub")
-        crowds = written(here.where("r <> hub").select("key", "h", "r"), "near-crowds")
-        if crowds.isEmpty():
-            if rest is None:
-                break
-            more = rest
-        else:
-            rank = F.row_number().over(W.partitionBy("key").orderBy("h"))
-            heads = crowds.select("key", F.col("h").alias("a"), F.col("r").alias("ra"), rank.alias("n")).where(F.col("n") <= SMALL)
-            more = crowds.join(heads, "key").where("h > a AND r <> ra").select("a", F.col("h").alias("b"))
-            more = (more if rest is None else more.unionByName(rest)).distinct()
-            last = heads.groupBy("key").agg(F.max("a").alias("last"))
-            crowds = written(crowds.join(last, "key").where("h > last").select("key", "h"), "near-crowds")
+
+    def linked(more: DataFrame) -> Roots:
+        """roots after those of the pairs that still lie between components."""
         ends = roots.of(more.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")), "ra", "rb")
         apart = written(ends.where("ra <> rb").select("a", "b"), "near-rest")
-        rest = None
-        if not apart.isEmpty():
-            roots = roots.merged(written(verify(apart, texts, one), "near-links"))
-        if crowds.isEmpty():
-            break
+        return roots if apart.isEmpty() else roots.merged(written(verify(apart, texts, one), "near-links"))
+
+    roots = linked(rest)
+    # all other pairs of crowds that span components
+    here = written(roots.of(crowds.withColumn("r", F.col("h")), "r"), "near-crowds")
+    spans = here.groupBy("key").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high")
+    here = written(here.join(spans.select("key"), "key"), "near-crowds")
+    if not here.isEmpty():
+        bag = written(text_bags(here.select("h").distinct(), texts, one), "near-bags")
+        more = written(crowd_pairs(here, bag), "near-crowd-pairs")
+        roots = linked(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
 
     named = roots.of(first.withColumn("root", F.col("h")), "root")
     classes = named.groupBy("root").agg(

@@ -375,6 +375,54 @@ def test_no_groups(spark):
     assert near_dup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def classes_of(spark, rows):
+    cls = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert len(cls) == len(rows)
+    return cls
+
+
+def test_base_bridges_a_crowd(spark):
+    # copies with a header are near the base, so are those with a footer, but not each other
+    rng = random.Random(11)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(400)]
+    own = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    rows = [(0, " ".join(base))]
+    rows += [(1 + i, " ".join(own(60) + base)) for i in range(300)]
+    rows += [(9000 + i, " ".join(base + own(40))) for i in range(10)]
+    assert set(classes_of(spark, rows).values()) == {0}
+
+
+def test_crowds_hide_no_pair(spark):
+    # near pairs are found whether or not many others share their passage
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(70)]
+    own = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    rows = [(10_000 + i, " ".join(passage + own(30))) for i in range(300)]
+    for k in range(40):
+        a = own(30)
+        b = list(a)
+        for at in rng.sample(range(30), 10):
+            b[at] = own(1)[0]
+        rows += [(2 * k, " ".join(passage + a)), (2 * k + 1, " ".join(passage + b))]
+    cls = classes_of(spark, rows)
+    assert [cls[2 * k + 1] for k in range(40)] == [2 * k for k in range(40)]
+    assert all(cls[i] == i for i in cls if i >= 10_000)
+
+
+def test_crowd_bound_spares_no_near_pair():
+    rng = random.Random(13)
+    words = []
+    for _ in range(40):
+        a = [rng.getrandbits(64) if rng.random() < 0.5 else rng.randrange(1, 9) * 2**40 for _ in range(rng.randrange(1, 90))]
+        words += [a, [x if rng.random() < 0.85 else rng.getrandbits(64) for x in a], a[rng.randrange(3) :]]
+    words = [np.array(w, np.uint64) for w in words if w]
+    rows = [{"words": len(w), **dict(zip(("bag", "over"), near_dup.bags(w)))} for w in words]
+    ok = near_dup.maybe_near(rows, rows)
+    pairs = [(i, j) for i in range(len(words)) for j in range(len(words))]
+    sims = near_dup.similarities([(words[i], words[j]) for i, j in pairs])
+    assert all(ok[p] for p, s in zip(pairs, sims) if s >= 0) and ok.mean() < 0.2
+
+
 # classifiers
 
 
