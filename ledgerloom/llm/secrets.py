@@ -7,7 +7,11 @@ jwt   three base64url parts; the first is a JSON object with a string "alg", the
 pem   a BEGIN/END PRIVATE KEY block whose body decodes to DER or an OpenSSH key
 ssh   base64 of an OpenSSH private key, or of a public key whose length-prefixed fields fill it exactly
 der   base64 or hex of a DER SEQUENCE whose nested lengths fill it exactly and that begins as a
-      private key does (a version INTEGER) or a public key (an algorithm SEQUENCE with an OID)
+      private key does (a version INTEGER), an encrypted one (an algorithm SEQUENCE with an OID and
+      parameters, an OCTET STRING) or a public key (an algorithm SEQUENCE with an OID, a BIT STRING)
+
+Hex of der is of either case. Base64 may stand right after any sign, also one of its own alphabet, as in
+key=..., path/... and name_...: each place of a run that can begin a key is tried.
 
 Spans are of code points, end exclusive; kinds are ordered assign, access, hex, jwt, pem, ssh,
 der. Rows are read one by one: no shuffle, memory for one batch of texts and the longest one.
@@ -45,7 +49,10 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
 PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
-B64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
+B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+# DER begins with 0x30 (M), an SSH field with three zero bytes, OpenSSH with its name
+KEY_START = re.compile(r"(?:^|(?<=[+/_-]))(?=M|AAAA|b3Bl)")
+HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{14,}")
 
 
 def unbase64(text: str) -> bytes | None:
@@ -104,9 +111,14 @@ def is_der_key(data: bytes) -> bool:
     tag, a, b = items[0]
     if tag == 0x02:  # a version, then a number, an algorithm or the key itself
         return b - a == 1 and data[a] <= 3 and items[1][0] in (0x02, 0x04, 0x30)
-    if tag == 0x30 and items[1][0] == 0x03:  # an algorithm, then the key as bits
-        first = der_item(data, a, b)
-        return first is not None and first[0] == 0x06
+    if tag == 0x30:
+        inner = der_items(data, a, b)
+        if not inner or inner[0][0] != 0x06:
+            return False
+        if items[1][0] == 0x03:  # an algorithm, then the key as bits
+            return True
+        # an encryption, always with parameters (a digest's are null), then the encrypted key
+        return len(items) == 2 and items[1][0] == 0x04 and len(inner) == 2 and inner[1][0] == 0x30
     return False
 
 
@@ -123,6 +135,23 @@ def is_ssh_key(data: bytes) -> bool:
     return len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-"))
 
 
+def key_kind(run: str) -> int | None:
+    """Place of ssh or der in KINDS if this base64 is such a key. A few bytes turn away most."""
+    head, size = unbase64(run[:64].rstrip("=")[: len(run[:64].rstrip("=")) // 4 * 4]), len(run.rstrip("=")) * 3 // 4
+    if not head:
+        return None
+    if head[0] == 0x30:
+        k = head[1] & 0x7F if head[1] >= 0x80 else 0
+        if 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1]) != size:
+            return None
+    elif not head.startswith(b"openssh-key-v1\0") and not head[4:].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-")):
+        return None
+    raw = unbase64(run)
+    if raw and is_ssh_key(raw):
+        return 5
+    return 6 if raw and is_der_key(raw) else None
+
+
 def _json_object(part: str) -> dict | None:
     raw = unbase64(part)
     try:
@@ -147,6 +176,10 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
         run = m.group()
         if run.startswith("30") and len(run) % 2 == 0 and is_der_key(bytes.fromhex(run)):
             out.append((m.start(), 6, m.end()))
+    for m in HEX_DER.finditer(text):
+        run = m.group()
+        if len(run) % 2 == 0 and is_der_key(bytes.fromhex(run)):
+            out.append((m.start(), 6, m.end()))
     if "eyJ" in text:
         for m in JWT.finditer(text):
             head = _json_object(m[1])
@@ -159,14 +192,12 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
                 out.append((m.start(), 4, m.end()))
     for m in B64.finditer(text):
         run = m.group()
-        # DER begins with 0x30 (M), an SSH field with three zero bytes, OpenSSH with its name
-        if run[0] == "M" or run.startswith(("AAAA", "b3Bl")):
-            raw = unbase64(run)
-            if raw and is_ssh_key(raw):
-                out.append((m.start(), 5, m.end()))
-            elif raw and is_der_key(raw):
-                out.append((m.start(), 6, m.end()))
-    return sorted(out)
+        for start in KEY_START.finditer(run):
+            kind = key_kind(run[start.start() :])
+            if kind is not None:
+                out.append((m.start() + start.start(), kind, m.end()))
+                break
+    return sorted(set(out))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -248,6 +248,33 @@ def test_structure_confirms(text, kind):
     assert kinds - {"der"} - {kind} == set() and (kind in kinds if kind else not kinds)
 
 
+OID = der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d")
+ENCRYPTED = der(0x30, der(0x30, OID, der(0x30, der(4, b"salt" * 2), der(2, b"\x08\0"))), der(4, bytes(range(128))))
+DIGEST = der(0x30, der(0x30, OID, der(5)), der(4, bytes(32)))
+OPENSSH = b"openssh-key-v1\0" + bytes(range(60))
+
+
+@pytest.mark.parametrize("before", ["", "key=", "url/", "a/b/", "x_", "id-", "k: "])
+@pytest.mark.parametrize("data,kind", [(KEY, "der"), (ENCRYPTED, "der"), (SSH, "ssh"), (OPENSSH, "ssh"), (DIGEST, None)])
+def test_keys_after_any_sign(before, data, kind):
+    value = b64encode(data).decode()
+    spans = [s for s in secrets.find_spans(f"see {before}{value} end") if s[1] >= 5]
+    at = 4 + len(before)
+    assert spans == ([(at, secrets.KINDS.index(kind), at + len(value))] if kind else [])
+
+
+@pytest.mark.parametrize("before", ["", "key=", "0x"])
+@pytest.mark.parametrize("case", [str.upper, str.lower])
+def test_hex_keys_of_either_case(before, case):
+    spans = [s for s in secrets.find_spans(before + case(KEY.hex())) if s[1] >= 5]
+    assert spans == [(len(before), 6, len(before) + 2 * len(KEY))]
+
+
+def test_encrypted_pem():
+    pem = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{b64encode(ENCRYPTED).decode()}\n-----END ENCRYPTED PRIVATE KEY-----"
+    assert (0, 4, len(pem)) in secrets.find_spans(pem)
+
+
 def test_base_is_brute_force(spark):
     rng = random.Random(2)
     bits = ["token", "TOKEN", "api_key", "apiKey", "ſecret", "pass", "password", "=", ":", " ", '"', "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "deadbeef", "a", ".", "\n", "é", "secret=abc"]
