@@ -15,7 +15,9 @@ RADIUS 19 covers a similarity of 0.8: such features agree to a cosine of 0.89, a
 probability 0.15, and 64 bits differ in 9.7 +- 2.9 places.
 
 A text is searched by itself: no shuffle, memory for one batch and the longest text. Items are
-broadcast in blocks of at most BLOCK_ITEMS, one after the other, however many there are.
+broadcast in blocks of about BLOCK_ITEMS, one after the other, however many there are. Weights are those of
+the whole benchmark: shingles of two or more items are counted once and go to all blocks (16 bytes each), so
+results do not depend on the blocks.
 
 Cases: null or empty texts and items without a word match nothing; an item of fewer than five
 words is one shingle of all its words; a text shorter than an item is one window; null ids are
@@ -95,9 +97,12 @@ class MultiIndex:
 
 
 class Items:
-    """A block of items, ready to be looked for."""
+    """A block of items, ready to be looked for.
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    shared: the sorted shingles of two or more items of the benchmark, and how many items; without it, of this block.
+    """
+
+    def __init__(self, ids: list, texts: list[str | None], shared: tuple[np.ndarray, np.ndarray] | None = None):
         h, ends = WordHasher()(texts)
         self.ids, self.size, self.k, grams = [], [], [], []
         for i, item in enumerate(ids):
@@ -108,12 +113,14 @@ class Items:
                 self.k.append(min(SHINGLE, len(w)))
                 grams.append(shingles(w, self.k[-1]))
         self.size, self.k = np.array(self.size, np.int64), np.array(self.k, np.int64)
-        shared = Counter(int(g) for gs in grams for g in np.unique(gs))
-        self.weight = {g: 1 / n for g, n in shared.items()}
-        self.known = np.array(sorted(shared), np.uint64)
-        self.known_weight = np.array([self.weight[int(g)] for g in self.known])
+        own = Counter(int(g) for gs in grams for g in np.unique(gs))
+        self.known = np.array(sorted(own), np.uint64)
+        if shared is None:
+            counts = np.array([own[int(g)] for g in self.known], np.int64)
+            shared = self.known[counts > 1], counts[counts > 1]
+        self.shared, self.shared_weight = shared[0], 1 / shared[1]
         self.bag = [Counter(g.tolist()) for g in grams]
-        self.total = [sum(n * self.weight[g] for g, n in bag.items()) for bag in self.bag]
+        self.total = [self.weight_of(bag) for bag in self.bag]
         of: dict[int, list[int]] = {}
         for i, bag in enumerate(self.bag):
             for g in bag:
@@ -134,13 +141,20 @@ class Items:
         return maybe[self.known[at] == g[maybe]]
 
     def weights(self, g: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, g), len(self.known) - 1)
-        return np.where(self.known[at] == g, self.known_weight[at], 1.0)
+        """1 over the number of items that share a shingle; 1 for those of one item or of none."""
+        if not len(self.shared):
+            return np.ones(len(g))
+        at = np.minimum(np.searchsorted(self.shared, g), len(self.shared) - 1)
+        return np.where(self.shared[at] == g, self.shared_weight[at], 1.0)
+
+    def weight_of(self, bag: dict[int, int]) -> float:
+        n = np.fromiter(bag.values(), float, len(bag))
+        return float((n * self.weights(np.fromiter(bag.keys(), np.uint64, len(bag)))).sum())
 
     def similarity(self, item: int, g: np.ndarray) -> float:
         bag, mine = self.bag[item], Counter(g.tolist())
-        common = sum(min(n, bag[x]) * self.weight[x] for x, n in mine.items() if x in bag)
-        return common / (self.total[item] + sum(n * self.weight.get(x, 1.0) for x, n in mine.items()) - common)
+        common = self.weight_of({x: min(n, bag[x]) for x, n in mine.items() if x in bag})
+        return common / (self.total[item] + self.weight_of(mine) - common)
 
     def search(self, words: np.ndarray, hits: dict[int, np.ndarray]) -> list[tuple[int, int, int, float, int]]:
         """(item, start, words, similarity, bits apart) of the best window of each item found.
@@ -193,6 +207,25 @@ def search_texts(items: Items, hasher: WordHasher, texts: list[str | None]) -> l
     ]
 
 
+def shared_shingles(bench: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted shingles of two or more items of (item_id, text), and of how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher.of()
+        for b in slices(batches, "text"):
+            h, ends = hasher(b.column("text").to_pylist())
+            for at, to in zip(ends[:-1], ends[1:], strict=True):
+                if to > at:
+                    g = np.unique(shingles(h[at:to], min(SHINGLE, int(to - at))))
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], ["g"])
+
+    counted = bench.select("text").mapInArrow(run, "g bigint").groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    got = counted.toArrow()
+    g, n = got.column("g").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(g)
+    return g[order], n[order]
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -212,6 +245,7 @@ def find_contamination(
     )
     item_type = to_arrow_type(bench.schema["item_id"].dataType)
     blocks = max(1, -(-bench.count() // block_items))
+    shared = spark.sparkContext.broadcast(shared_shingles(bench) if blocks > 1 else None)
     out = None
     for k in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
@@ -219,7 +253,7 @@ def find_contamination(
         sent = spark.sparkContext.broadcast(([r.item_id for r in got], [r.text for r in got]))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, hasher = Items(*sent.value), WordHasher.of()
+            items, hasher = Items(*sent.value, shared.value), WordHasher.of()
             if items.index is None:
                 return
             for b in slices(batches, "text"):

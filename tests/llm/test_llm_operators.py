@@ -316,6 +316,23 @@ def test_windows_are_brute_force(spark):
     assert {k for k in got if got[k] > 0.999} == {k for k in want if want[k] > 0.999}
 
 
+def test_blocks_do_not_change_results(spark):
+    rng = random.Random(15)
+    phrase = prose(rng, 9)
+    items = [(i, f"{phrase} {prose(rng, 14)}") for i in range(12)] + [(20, prose(rng, 3)), (21, phrase)]
+    rows = list(ODD)
+    for d in range(80):
+        words = rng.choice(items)[1].split()
+        words[rng.randrange(len(words))] = "new"
+        rows.append((100 + d, f"{prose(rng, 20)} {' '.join(words)} {prose(rng, 20)}"))
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    one, many = (
+        {(r.doc_id, r.item_id): (r.start_word, r.n_words, round(r.similarity, 9), r.hamming) for r in decontaminate.find_contamination(docs_of(spark, rows), bench, block_items=n).collect()}
+        for n in (2000, 3)
+    )
+    assert one == many and len(one) > 20
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
