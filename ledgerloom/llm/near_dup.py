@@ -454,8 +454,8 @@ def _flat(tree: DataFrame) -> Roots:
             return now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), class_size, n_texts for every row of docs."""
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, h) of every row; (h, doc_id, n_rows) of every text; (h, root) of every text: its class."""
     texts = _texts(docs, id_col, text_col)
     ids = written(texts.select("doc_id", "h"), "near-ids")
     first = written(ids.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows")), "near-first")
@@ -483,7 +483,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = written(crowd_pairs(here, bag), "near-crowd-pairs")
         roots = linked(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
 
-    named = roots.of(first.withColumn("root", F.col("h")), "root")
+    return ids, first, roots.of(first.select("h", F.col("h").alias("root")), "root")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class), class_size, n_texts for every row of docs."""
+    ids, first, root = _classes(docs, id_col, text_col)
+    named = first.join(root, "h")
     classes = named.groupBy("root").agg(
         F.min("doc_id").alias("class_id"), F.sum("n_rows").alias("class_size"), F.count("*").alias("n_texts")
     )
@@ -492,16 +498,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class: that of its least doc_id (of rows that repeat it, one)."""
-    classes = near_duplicates(docs, id_col, text_col)
-    kept = written(
-        classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("_n")), "near-kept"
-    )
-    c = F.col(f"`{id_col}`")
-    side = kept.select(F.col("doc_id").alias("_kept"), "_n")
-    out = docs.join(side, c.eqNullSafe(F.col("_kept")))
-    once = out.where("_n = 1").select(*[F.col(f"`{x}`") for x in docs.columns])
+    """docs with one row of each class: that of its least doc_id, then text hash (of rows that repeat both, one).
+
+    Rows are told apart by id and text together: null or repeated ids never take another class's row away.
+    """
+    ids, first, root = _classes(docs, id_col, text_col)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least")
+    best = first.join(root, "h").groupBy("root").agg(least).select(F.col("least.doc_id").alias("_kept"), F.col("least.h").alias("_kept_h"))
+    best = written(best, "near-best")
+    same = (ids["h"] == best["_kept_h"]) & ids["doc_id"].eqNullSafe(best["_kept"])
+    kept = written(ids.join(best, same).groupBy("_kept", "_kept_h").agg(F.count("*").alias("_n")), "near-kept")
+    mark = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
+    out = docs.join(kept, (mark == F.col("_kept_h")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")))
+    columns = [F.col(f"`{x}`") for x in docs.columns]
+    once = out.where("_n = 1").select(*columns)
     if kept.where("_n > 1").isEmpty():
         return once
-    again = out.where("_n > 1").select(*[F.col(f"`{x}`") for x in docs.columns]).dropDuplicates([id_col])
+    again = out.where("_n > 1").dropDuplicates(["_kept", "_kept_h"]).select(*columns)
     return once.unionByName(again)

@@ -467,6 +467,15 @@ def test_crowd_bound_spares_no_near_pair():
     assert all(ok[p] for p, s in zip(pairs, sims) if s >= 0) and ok.mean() < 0.2
 
 
+def test_keep_one_by_id_and_text(spark):
+    rng = random.Random(14)
+    t = [prose(rng, 60, 10**6) for _ in range(6)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]), (7, t[2]), (7, t[3]), (5, t[4]), (3, t[5] + " x"), (5, t[5])]
+    kept = near_dup.keep_one(docs_of(spark, rows)).select("doc_id", "text").collect()
+    want = [(None, t[0]), (None, t[1]), (7, t[2]), (7, t[3]), (5, t[4]), (3, t[5] + " x")]
+    assert collections.Counter(map(tuple, kept)) == collections.Counter(want)
+
+
 # classifiers
 
 
