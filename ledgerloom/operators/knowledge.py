@@ -23,19 +23,22 @@ def route(question: Column) -> Column:
     return out.otherwise("documents")
 
 
-def mentions(docs: DataFrame, lexicon: DataFrame, id_col: str, text: Column, limit: int = 20, chars: int = 8000) -> DataFrame:
+def mentions(docs: DataFrame, lexicon: DataFrame, id_col: str, text: Column, limit: int | None = 20, chars: int | None = 8000) -> DataFrame:
     """(id, key, pos): names of the lexicon (name, key) among runs of 4 to 20 letters of a document's first
-    characters, a run also without its last one or two; the first `limit` keys by place.
+    characters, a run also without its last one or two; the first `limit` keys by place. None of chars or limit: all.
 
     Runs become rows and meet the lexicon by equality, so the cost is that of a hash join, whatever
     the lexicon's size; no document is compared with every name.
     """
-    runs = F.regexp_extract_all(F.substring(text, 1, chars), F.lit(r"[0-9A-Za-z가-힣]{4,20}"), F.lit(0))
+    part = text if chars is None else F.substring(text, 1, chars)
+    runs = F.regexp_extract_all(part, F.lit(r"[0-9A-Za-z가-힣]{4,20}"), F.lit(0))
     d = docs.select(F.col(id_col).alias("id"), F.posexplode(runs).alias("pos", "run"))
     n = F.length("run")
     tries = F.array_distinct(F.array(F.col("run"), F.substring(F.col("run"), F.lit(1), F.greatest(n - 1, F.lit(3))), F.substring(F.col("run"), F.lit(1), F.greatest(n - 2, F.lit(3)))))
     t = d.select("id", "pos", F.posexplode(tries).alias("cut", "name")).join(lexicon.select("name", "key"), "name")
     first = t.groupBy("id", "key").agg(F.min("pos").alias("pos"))
+    if limit is None:
+        return first
     w = W.partitionBy("id").orderBy("pos", "key")
     return first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
 

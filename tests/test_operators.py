@@ -196,3 +196,13 @@ def test_nearest_prefers_earlier(spark):
     l = spark.createDataFrame([("k", D(2024, 1, 10))], "k string, t date")
     r = spark.createDataFrame([("k", D(2024, 1, 12), 2.0), ("k", D(2024, 1, 8), 1.0), ("k", D(2024, 2, 1), 9.0)], "k string, d date, v double")
     assert series.nearest_within(l, r, ["k"], "t", "d", "v", 10).first()["nearest_value"] == 1.0
+
+
+def test_mentions_of_whole_texts(spark):
+    from ledgerloom.operators import knowledge
+
+    text = "word " * 2000 + " ".join(f"name{i:03d}" for i in range(30))
+    lexicon = spark.createDataFrame([(f"name{i:03d}", i) for i in range(30)], "name string, key int")
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    count = lambda **k: knowledge.mentions(docs, lexicon, "doc_id", F.col("text"), **k).count()
+    assert (count(), count(chars=None), count(chars=None, limit=None)) == (0, 20, 30)
