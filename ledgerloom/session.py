@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -42,7 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares (spark.checkpoint.dir).
 
-    Only where it is unset, as in tests, a local folder is made and set.
+    Only where it is unset, as in tests, a local folder is made and set. That is refused on a cluster,
+    whose machines would each write to a disk of their own.
     """
     ready(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,6 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
         got = jsc.getCheckpointDir()
         path = got.get() if got.isDefined() else None
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -71,3 +75,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a written table, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Written tables of one computation, which go together once its result is written.
+
+    Only tables that no later plan reads may be left to it: a lazy result must rest on tables of `written`.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = work_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+        self.paths = []
