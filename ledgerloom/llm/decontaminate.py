@@ -15,8 +15,9 @@ RADIUS 19 covers a similarity of 0.8: such features agree to a cosine of 0.89, a
 probability 0.15, and 64 bits differ in 9.7 +- 2.9 places.
 
 A text is searched by itself: no shuffle, memory for one batch and the longest text. Items are
-broadcast in blocks of about BLOCK_ITEMS, one after the other, however many there are. Weights are those of
-the whole benchmark: shingles of two or more items are counted once and go to all blocks (16 bytes each), so
+indexed in blocks of about BLOCK_ITEMS, which a worker builds once and keeps; PASS_BLOCKS of them are broadcast
+together, and one pass over the corpus hashes each text once and probes them all; beyond, there is another pass. Weights
+are those of the whole benchmark: shingles of two or more items are counted once and go to all blocks (16 bytes each), so
 results do not depend on the blocks.
 
 Cases: null or empty texts and items without a word match nothing; an item of fewer than five
@@ -27,6 +28,7 @@ tables give an empty result; other columns are ignored. Ties go to the earliest
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ledgerloom.llm.columns import unused
 from ledgerloom.llm.words import WordHasher, mix64, shingles, slices
 
 SHINGLE = 5
@@ -43,6 +46,7 @@ THRESHOLD = 0.8
 RADIUS = 19
 BLOCKS = 4
 BLOCK_ITEMS = 2_000
+PASS_BLOCKS = 10
 FILTER_BITS = 22
 
 _BITS = np.arange(64, dtype=np.uint64)
@@ -189,22 +193,35 @@ class Items:
         return [(i, *found[1:]) for i, found in sorted(best.items())]
 
 
-def search_texts(items: Items, hasher: WordHasher, texts: list[str | None]) -> list[tuple]:
-    """(place of the text, item, start, words, similarity, bits apart)."""
+_built: dict[str, list[Items]] = {}
+
+
+def built(name: str, blocks: list[tuple[list, list[str | None]]], shared: tuple[np.ndarray, np.ndarray] | None) -> list[Items]:
+    """The blocks of a broadcast, built once a worker; only those of the last one are kept."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = [x for x in (Items(ids, texts, shared) for ids, texts in blocks) if x.index is not None]
+    return _built[name]
+
+
+def search_texts(blocks: list[Items], hasher: WordHasher, texts: pa.Array | list[str | None]) -> list[tuple]:
+    """(place of the text, block, item, start, words, similarity, bits apart)."""
     h, ends = hasher(texts)
-    found: dict[int, dict[int, np.ndarray]] = {}
-    for k in np.unique(items.k).tolist():
-        at = items.places(shingles(h, k))
-        text = np.searchsorted(ends, at, side="right") - 1
-        inside = at + k <= ends[text + 1]
-        at, text = at[inside], text[inside]
-        cuts = np.flatnonzero(np.diff(text)) + 1
-        for part, t in zip(np.split(at, cuts), np.split(text, cuts), strict=True):
-            if len(t):
-                found.setdefault(int(t[0]), {})[k] = part - ends[t[0]]
-    return [
-        (t, *row) for t in sorted(found) for row in items.search(h[ends[t] : ends[t + 1]], found[t])
-    ]
+    grams = {k: shingles(h, k) for k in {int(k) for items in blocks for k in items.k}}
+    out = []
+    for n, items in enumerate(blocks):
+        found: dict[int, dict[int, np.ndarray]] = {}
+        for k in np.unique(items.k).tolist():
+            at = items.places(grams[k])
+            text = np.searchsorted(ends, at, side="right") - 1
+            inside = at + k <= ends[text + 1]
+            at, text = at[inside], text[inside]
+            cuts = np.flatnonzero(np.diff(text)) + 1
+            for part, t in zip(np.split(at, cuts), np.split(text, cuts), strict=True):
+                if len(t):
+                    found.setdefault(int(t[0]), {})[k] = part - ends[t[0]]
+        out += [(t, n, *row) for t in sorted(found) for row in items.search(h[ends[t] : ends[t + 1]], found[t])]
+    return out
 
 
 def shared_shingles(bench: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +230,7 @@ def shared_shingles(bench: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher.of()
         for b in slices(batches, "text"):
-            h, ends = hasher(b.column("text").to_pylist())
+            h, ends = hasher(b.column("text"))
             for at, to in zip(ends[:-1], ends[1:], strict=True):
                 if to > at:
                     g = np.unique(shingles(h[at:to], min(SHINGLE, int(to - at))))
@@ -238,7 +255,7 @@ def find_contamination(
     """doc_id, item_id, start_word, n_words, similarity, hamming: one row for each text and item it holds."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind, item_kind = dict(rows.dtypes)["doc_id"], dict(bench.dtypes)["item_id"]
     schema = (
         f"doc_id {kind}, item_id {item_kind}, start_word bigint, n_words bigint, similarity double, hamming int"
@@ -247,23 +264,27 @@ def find_contamination(
     blocks = max(1, -(-bench.count() // block_items))
     shared = spark.sparkContext.broadcast(shared_shingles(bench) if blocks > 1 else None)
     out = None
-    for k in range(blocks):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        got = part.collect()  # about block_items rows
-        sent = spark.sparkContext.broadcast(([r.item_id for r in got], [r.text for r in got]))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, hasher = Items(*sent.value, shared.value), WordHasher.of()
-            if items.index is None:
+    for k in range(0, blocks, PASS_BLOCKS):
+        parts = []
+        for i in range(k, min(blocks, k + PASS_BLOCKS)):
+            part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
+            got = part.collect()  # about block_items rows
+            parts.append(([r.item_id for r in got], [r.text for r in got]))
+        sent, name = spark.sparkContext.broadcast(parts), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            built_blocks, hasher = built(name, sent.value, shared.value), WordHasher.of()
+            if not built_blocks:
                 return
             for b in slices(batches, "text"):
-                hits = search_texts(items, hasher, b.column("text").to_pylist())
+                hits = search_texts(built_blocks, hasher, b.column("text"))
                 if hits:
-                    place, item, start, n, sim, apart = zip(*hits, strict=True)
+                    place, block, item, start, n, sim, apart = zip(*hits, strict=True)
+                    ids = [built_blocks[x].ids[i] for x, i in zip(block, item, strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             b.column("doc_id").take(pa.array(place)),
-                            pa.array([items.ids[i] for i in item], item_type),
+                            pa.array(ids, item_type),
                             pa.array(start, pa.int64()),
                             pa.array(n, pa.int64()),
                             pa.array(sim, pa.float64()),
@@ -283,9 +304,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     Rows are told apart by id and text together, so that a clean row never goes because another
     row has its id.
     """
-    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    key = F.struct(F.col(id_col).alias("id"), mark.alias("mark"))
-    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
-    found = find_contamination(keyed, benchmark, "_key", "_text").select("doc_id").distinct()
-    bad = found.select(F.col("doc_id.id").alias("_bad_id"), F.col("doc_id.mark").alias("_bad_mark"))
-    return docs.join(bad, (mark == F.col("_bad_mark")) & F.col(id_col).eqNullSafe(F.col("_bad_id")), "left_anti")
+    mark = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), mark.alias("mark"))
+    keyed = docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text"))
+    found = find_contamination(keyed, benchmark, "key", "text").select("doc_id").distinct()
+    bad_id, bad_mark = unused(docs, "bad_id", "bad_mark")
+    bad = found.select(F.col("doc_id.id").alias(bad_id), F.col("doc_id.mark").alias(bad_mark))
+    return docs.join(bad, (mark == F.col(bad_mark)) & F.col(f"`{id_col}`").eqNullSafe(F.col(bad_id)), "left_anti")
