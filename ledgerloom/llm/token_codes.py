@@ -21,6 +21,7 @@ id are all written, in order of text; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import struct
@@ -117,42 +118,57 @@ class Reader:
 
 
 class Encoder:
-    """Texts to ids with a tokenizers file of byte-level BPE.
+    """Texts to ids with a tokenizers file of byte-level BPE, as encode(text, add_special_tokens=False) of the
+    library gives them: a special string in a text becomes its own id.
 
     Such a tokenizer never joins a token across a space that follows a character that is not white
     space, so texts are cut there, each distinct piece is encoded once and remembered, and a
     text's ids are put together from its pieces. The result is that of encoding the whole text; with a
-    file of another kind texts are not cut. Pieces are found and looked up as arrays, by 64-bit hashes of
-    their bytes; once more than CACHE_PIECES are remembered, all but the half as many that were
-    used most are forgotten (about 50 bytes each).
+    file of another kind texts are not cut.
+
+    Pieces of up to LONG_PIECE bytes are found and looked up as arrays, by two independent 64-bit polynomials of their
+    bytes whose bases and byte values each worker draws at random, so no text can be made to clash; longer pieces are encoded each
+    time. Once more than CACHE_PIECES are remembered, all but the half as many that were
+    used most are forgotten (about 60 bytes each). Texts are worked through in stretches of STRETCH bytes, so
+    memory does not grow with the arrays of a long text, only with its bytes and ids.
     """
 
     CACHE_PIECES = 600_000
     JOINED = 1_000
+    LONG_PIECE = 64
+    STRETCH = 2_000_000
     _kept: dict[str, Encoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        """The encoder of a file that this worker keeps from task to task."""
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
-
-    def __init__(self, path: str):
+    def of(cls, conf: str, name: str) -> Encoder:
+        """The encoder of a tokenizer's file contents that this worker keeps from task to task."""
+        if name not in cls._kept:
+            cls._kept.clear()
+            cls._kept[name] = cls(conf)
+        return cls._kept[name]
+
+    def __init__(self, conf: str):
         # workers share the cores already
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cut = _cuts_at_spaces(path)
+        self.tok = Tokenizer.from_str(conf)
+        self.cut = _cuts_at_spaces(conf)
+        self.special = [t["content"] for t in json.loads(conf).get("added_tokens", [])]
         self.line = self.encode(["\n"])[0][0]
-        # of every known piece, in order of its hash: hash, place in the table, number of ids, uses
-        self.hash, self.first = np.empty(0, np.uint64), np.empty(0, np.int64)
+        # of every known piece, in order of its hash: hash, second hash, place in the table, number of ids, uses
+        self.hash, self.check, self.first = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
         self.size, self.used = np.empty(0, np.int32), np.empty(0, np.int32)
         self.table, self.end = np.zeros(4096, np.uint32), 0
-        self.byte = mix64(np.arange(1, 257, dtype=np.uint64))
-        self.power = self.inverse = np.ones(1, np.uint64)
+        draw = np.random.default_rng()
+        self.byte = draw.integers(0, 1 << 64, 256, np.uint64)
+        self.power, self.inverse = [], []
+        for base in draw.integers(0, 1 << 62, 2).tolist():
+            base = 2 * base + 1
+            for into, x in ((self.power, base), (self.inverse, pow(base, -1, 1 << 64))):
+                powers = np.full(self.STRETCH, x, np.uint64)
+                powers[0] = 1
+                into.append(np.cumprod(powers))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -164,7 +180,12 @@ class Encoder:
         at a time, which spares it the setting up of a result for each: a line break before
         anything but white space is a token by itself, and none joins across it.
         """
+
         plain = np.array([w[0] != "\n" and not w[-1].isspace() and len(w.split()) == 1 and not w[:2].isspace() for w in pieces], bool)
+        every = "\0".join(pieces)
+        for x in self.special:
+            if x in every:
+                plain &= np.array([x not in w for w in pieces], bool)
         lined = [w for w, p in zip(pieces, plain.tolist(), strict=True) if p]
         lots = ["\n".join(lined[i : i + self.JOINED]) + "\n" for i in range(0, len(lined), self.JOINED)]
         ids = np.concatenate([np.array(g, np.uint32) for g in self.encode(lots)] or [np.empty(0, np.uint32)])
@@ -180,27 +201,24 @@ class Encoder:
 
     def starts(self, raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
         """Where pieces begin: at texts, and at spaces that do not follow white space."""
-        space = np.flatnonzero(raw == 32)
-        space = space[space > 0]
-        p1 = raw[space - 1]
-        p2, p3 = raw[np.maximum(space - 2, 0)], raw[np.maximum(space - 3, 0)]
-        white = (p1 <= 32) | ((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0)))
-        # U+1680, U+2000 to U+205F and U+3000: any of these blocks, so that no cut is ever wrong
-        white |= ((p3 == 0xE1) & (p2 == 0x9A)) | ((p3 == 0xE2) & ((p2 == 0x80) | (p2 == 0x81))) | ((p3 == 0xE3) & (p2 == 0x80))
         at = np.zeros(len(raw), bool)
-        at[texts] = at[space[~white]] = True
+        at[texts] = True
+        for lo in range(0, len(raw), self.STRETCH):
+            space = np.flatnonzero(raw[lo : lo + self.STRETCH] == 32) + lo
+            space = space[space > 0]
+            p1 = raw[space - 1]
+            p2, p3 = raw[np.maximum(space - 2, 0)], raw[np.maximum(space - 3, 0)]
+            white = (p1 <= 32) | ((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0)))
+            # U+1680, U+2000 to U+205F and U+3000: any of these blocks, so that no cut is ever wrong
+            white |= ((p3 == 0xE1) & (p2 == 0x9A)) | ((p3 == 0xE2) & ((p2 == 0x80) | (p2 == 0x81))) | ((p3 == 0xE3) & (p2 == 0x80))
+            at[space[~white]] = True
         return np.flatnonzero(at)
 
     def hashes(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """A polynomial of each piece's bytes, the same wherever it stands."""
-        if len(self.power) < len(raw):
-            n = max(len(raw), 1 << 20)
-            base = 0x9E3779B97F4A7C15
-            self.power, self.inverse = (np.full(n, x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
-            self.power[0] = self.inverse[0] = 1
-            self.power, self.inverse = np.cumprod(self.power), np.cumprod(self.inverse)
-        h = np.add.reduceat(self.byte[raw] * self.power[: len(raw)], starts) * self.inverse[starts]
-        return mix64(h + size.astype(np.uint64))
+        """(2, n): polynomials of the bytes of each piece, the same wherever it stands."""
+        values, n = self.byte[raw], size.astype(np.uint64)
+        sums = [np.add.reduceat(values * p[: len(raw)], starts) * i[starts] for p, i in zip(self.power, self.inverse, strict=True)]
+        return np.stack([mix64(x + n) for x in sums])
 
     def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         ids, size = self.encode_pieces(pieces)
@@ -209,17 +227,53 @@ class Encoder:
         self.table[self.end : end] = ids
         first = self.end + np.cumsum(size) - size
         self.end = end
-        at = np.searchsorted(self.hash, hashes)
-        self.hash, self.first = np.insert(self.hash, at, hashes), np.insert(self.first, at, first)
+        at = np.searchsorted(self.hash, hashes[0])
+        self.hash, self.check = np.insert(self.hash, at, hashes[0]), np.insert(self.check, at, hashes[1])
+        self.first = np.insert(self.first, at, first)
         self.size, self.used = np.insert(self.size, at, size), np.insert(self.used, at, 0)
 
     def forget(self) -> None:
         keep = np.sort(np.argsort(-self.used, kind="stable")[: self.CACHE_PIECES // 2])
         take = self.table[_spread(self.first[keep], self.size[keep])]
-        self.hash, self.size, self.used = self.hash[keep], self.size[keep], self.used[keep] // 2
+        self.hash, self.check, self.size, self.used = self.hash[keep], self.check[keep], self.size[keep], self.used[keep] // 2
         self.first = np.cumsum(self.size, dtype=np.int64) - self.size
         self.table, self.end = take, len(take)
 
+    def stretch(self, data: bytes, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces of data, number of ids of each)."""
+        both = self.hashes(np.frombuffer(data, np.uint8), starts, size)
+        if len(self.hash) > self.CACHE_PIECES:
+            self.forget()
+
+        def pieces(places: np.ndarray) -> list[str]:
+            ends = (starts[places] + size[places]).tolist()
+            return [data[a:z].decode() for a, z in zip(starts[places].tolist(), ends, strict=True)]
+
+        h, where, which = np.unique(both[0], return_index=True, return_inverse=True)
+        short = size[where] <= self.LONG_PIECE
+        at = np.searchsorted(self.hash, h)
+        new = np.ones(len(h), bool)
+        new[at < len(self.hash)] = self.hash[at[at < len(self.hash)]] != h[at < len(self.hash)]
+        new &= short
+        if new.any():
+            self.learn(both[:, where[new]], pieces(where[new]))
+            at = np.searchsorted(self.hash, h)
+        code = np.minimum(at, max(len(self.hash) - 1, 0))[which]
+        by_self = size > self.LONG_PIECE
+        if len(self.hash):
+            by_self |= (self.hash[code] != both[0]) | (self.check[code] != both[1])
+        n, first, table = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), self.table
+        known = ~by_self
+        self.used += np.bincount(code[known], minlength=len(self.hash)).astype(np.int32)
+        n[known], first[known] = self.size[code[known]], self.first[code[known]]
+        odd = np.flatnonzero(by_self)
+        if len(odd):  # long pieces, and such as share a hash with another
+            more = [np.array(g, np.uint32) for g in self.encode(pieces(odd))]
+            n[odd] = [len(g) for g in more]
+            first[odd] = len(table) + np.cumsum(n[odd]) - n[odd]
+            table = np.concatenate([table, *more])
+        return table[_spread(first, n)], n
+
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each)."""
         texts = [t or "" for t in texts]
@@ -229,30 +283,31 @@ class Encoder:
         whole = [t.encode("utf-8", "replace") for t in texts]
         length = np.array([len(t) for t in whole], np.int64)
         data = b"".join(whole)
+        del whole
         if not data:
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        raw = np.frombuffer(data, np.uint8)
         begin = np.cumsum(length) - length
-        starts = self.starts(raw, begin[length > 0])
-        size = np.diff(starts, append=len(raw))
-        h, where, which = np.unique(self.hashes(raw, starts, size), return_index=True, return_inverse=True)
-        if len(self.hash) > self.CACHE_PIECES:
-            self.forget()
-        at = np.searchsorted(self.hash, h)
-        new = np.ones(len(h), bool)
-        new[at < len(self.hash)] = self.hash[at[at < len(self.hash)]] != h[at < len(self.hash)]
-        if new.any():
-            places = where[new]
-            ends = (starts[places] + size[places]).tolist()
-            self.learn(h[new], [data[a:z].decode() for a, z in zip(starts[places].tolist(), ends, strict=True)])
-            at = np.searchsorted(self.hash, h)
-        self.used[at] += np.bincount(which, minlength=len(h)).astype(np.int32)
-        code = at[which]
-        n = self.size[code].astype(np.int64)
-        upto = np.concatenate(([0], np.cumsum(n)))
+        starts = self.starts(np.frombuffer(data, np.uint8), begin[length > 0])
+        size = np.diff(starts, append=len(data))
+        ends = starts + size
+        ids, n, at = [], [], 0
+        while at < len(starts):
+            lo = starts[at]
+            to = int(np.searchsorted(ends, lo + self.STRETCH, side="right"))
+            if to == at:  # one piece of more than a stretch
+                some = np.array(self.encode([data[lo : ends[at]].decode()])[0], np.uint32)
+                ids.append(some)
+                n.append([len(some)])
+                at += 1
+                continue
+            some, count = self.stretch(data[lo : ends[to - 1]], starts[at:to] - lo, size[at:to])
+            ids.append(some)
+            n.append(count)
+            at = to
+        upto = np.concatenate(([0], np.cumsum(np.concatenate(n))))
         # pieces of a text: those that start in it
-        edge = upto[np.searchsorted(starts, np.append(begin, len(raw)))]
-        return self.table[_spread(self.first[code], n)], np.diff(edge)
+        edge = upto[np.searchsorted(starts, np.append(begin, len(data)))]
+        return np.concatenate(ids), np.diff(edge)
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
@@ -267,9 +322,8 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)
 
 
-def _cuts_at_spaces(path: str) -> bool:
-    with open(path, encoding="utf-8") as f:
-        conf = json.load(f)
+def _cuts_at_spaces(file: str) -> bool:
+    conf = json.loads(file)
     pre = conf.get("pre_tokenizer") or {}
     return (
         conf.get("normalizer") is None
@@ -319,15 +373,19 @@ SEGMENT_SCHEMA = "part int, seg int, doc_ids array<{0}>, sizes array<int>, n_tok
 def write_documents(
     docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tasks: int | None = None
 ) -> None:
-    """Encode docs in ascending order of id into segments under path."""
+    """Encode docs in ascending order of id into segments under path. The tokenizer's file is read by the driver alone."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     if tasks is None:
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    with open(tokenizer, encoding="utf-8") as f:
+        conf = f.read()
+    sent, name = spark.sparkContext.broadcast(conf), hashlib.sha256(conf.encode()).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(sent.value, name)
         part, seg, ids, sizes, held, n = 0, 0, [], [], [], 0
 
         def segment() -> pa.RecordBatch:
@@ -370,16 +428,48 @@ def write_documents(
     dealt.mapInArrow(run, SEGMENT_SCHEMA.format(kind)).write.mode("overwrite").parquet(path)
 
 
-def read_documents(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the segments under path."""
-    segs = spark.read.parquet(path)
-    kind = segs.schema["doc_ids"].dataType.elementType.simpleString()
-    # one row a segment (SEGMENT_IDS ids): parts are summed before they meet in one task
+def _starts(segs: DataFrame) -> DataFrame:
+    """(part, seg, start): ids of the corpus before each segment. One row a segment (SEGMENT_IDS ids): parts are
+    summed before they meet in one task."""
     parts = segs.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("part_start"))
     inside = W.partitionBy("part").orderBy("seg")
     starts = segs.select("part", "seg", (F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("seg_start"))
-    starts = starts.join(parts, "part").select("part", "seg", (F.col("part_start") + F.col("seg_start")).alias("start"))
+    return starts.join(parts, "part").select("part", "seg", (F.col("part_start") + F.col("seg_start")).alias("start"))
+
+
+def tokens_at(spark, path: str, positions: DataFrame, position_col: str = "position") -> DataFrame:
+    """(position, id) of the ids at the given places of the corpus, each once, by random access: no segment is decoded.
+
+    Places outside the corpus and nulls give no row. A place meets its segment by stretches of SEGMENT_IDS places.
+    """
+    segs = spark.read.parquet(path)
+    spans = segs.select("part", "seg", "n_tokens").join(_starts(segs.select("part", "seg", "n_tokens")), ["part", "seg"])
+    first, last = (F.floor(x / SEGMENT_IDS) for x in (F.col("start"), F.col("start") + F.col("n_tokens") - 1))
+    spans = spans.withColumn("stretch", F.explode(F.sequence(first, last)))
+    asked = positions.select(F.col(position_col).cast("bigint").alias("position")).where("position >= 0").distinct()
+    asked = asked.withColumn("stretch", F.floor(F.col("position") / SEGMENT_IDS))
+    inside = asked.join(spans, "stretch").where("position >= start and position < start + n_tokens")
+    # at most as many as a segment has ids
+    wanted = inside.groupBy("part", "seg").agg(F.min("start").alias("start"), F.collect_list("position").alias("positions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                reader, start = Reader(b.column("payload")[k].as_py()), b.column("start")[k].as_py()
+                places = b.column("positions")[k].as_py()
+                ids = [reader[p - start] for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(ids, pa.int64())], ["position", "id"])
+
+    found = segs.select("part", "seg", "payload").join(wanted, ["part", "seg"])
+    return found.select("payload", "start", "positions").mapInArrow(run, "position bigint, id bigint")
+
+
+def read_documents(spark, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the segments under path."""
+    segs = spark.read.parquet(path)
+    kind = segs.schema["doc_ids"].dataType.elementType.simpleString()
+    starts = _starts(segs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -94,7 +94,6 @@ def test_stages(spark, sf_dir):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     at, want = 0, []
     for r in sorted(seen[3], key=lambda r: (r.doc_id, r.text)):
         ids = tok.encode(r.text, add_special_tokens=False).ids + [2]
