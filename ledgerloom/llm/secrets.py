@@ -3,15 +3,18 @@
 Base kinds are patterns alone (assign, access, hex). The method adds kinds that are reported only
 after a candidate has been decoded and its structure holds:
 
-jwt   three base64url parts; the first is a JSON object with a string "alg", the second a JSON object
+jwt   three base64url parts; the first is a JSON object (spaced as it likes) with a string "alg", the second a
+      JSON object or empty (a detached one)
 pem   a BEGIN/END PRIVATE KEY block whose body decodes to DER or an OpenSSH key
-ssh   base64 of an OpenSSH private key, or of a public key whose length-prefixed fields fill it exactly
+ssh   base64 of an OpenSSH private key (names of cipher and derivation, options, the counted public keys and the
+      private part fill it exactly), or of a public key whose length-prefixed fields do
 der   base64 or hex of a DER SEQUENCE whose nested lengths fill it exactly and that begins as a
       private key does (a version INTEGER), an encrypted one (an algorithm SEQUENCE with an OID and
       parameters, an OCTET STRING) or a public key (an algorithm SEQUENCE with an OID, a BIT STRING)
 
 Hex of der is of either case. Base64 may stand right after any sign, also one of its own alphabet, as in
-key=..., path/... and name_...: each place of a run that can begin a key is tried.
+key=..., path/... and name_...: each place of a run that can begin a key is tried. It may be wrapped over lines (of 32
+signs or more but for the last), without any armour.
 
 Spans are of code points, end exclusive; kinds are ordered assign, access, hex, jwt, pem, ssh,
 der. Rows are read one by one: no shuffle, memory for one batch of texts and the longest one.
@@ -36,6 +39,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.words import slices
 
+OPENSSH = b"openssh-key-v1\0"
 KINDS = ("assign", "access", "hex", "jwt", "pem", "ssh", "der")
 BASE = KINDS[:3]
 
@@ -47,7 +51,13 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+# a run that may end with a signed token's header, and what must follow it
+JWT_RUN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+(?=\.)")
+JWT_REST = re.compile(r"\.([A-Za-z0-9_-]*)\.[A-Za-z0-9_-]+")
+# "{" or white space begins the header's JSON
+JWT_START = re.compile(r"(?:^|(?<=[_-]))[eICD]")
+JSON_START = re.compile(rb'[ \t\r\n]*(?:\{[ \t\r\n]*(?:"|$)|$)')
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?=M|AAAA|b3Bl)(?:[A-Za-z0-9+/]{32,}+\r?\n[ \t]*)+[A-Za-z0-9+/]++={0,2}")
 PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 # DER begins with 0x30 (M), an SSH field with three zero bytes, OpenSSH with its name
@@ -122,17 +132,34 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
+def ssh_fields(data: bytes, at: int, n: int | None = None) -> tuple[list[bytes], int] | None:
+    """(n length-prefixed fields, or all up to the end, and where they end); None if a length goes beyond the end."""
+    fields = []
+    while at < len(data) if n is None else len(fields) < n:
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + size > len(data):
+            return None
+        fields.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return fields, at
+
+
+def is_ssh_public(data: bytes) -> bool:
+    got = ssh_fields(data, 0)
+    return got is not None and len(got[0]) >= 2 and got[0][0].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-"))
+
+
 def is_ssh_key(data: bytes) -> bool:
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at < len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-"))
+    if not data.startswith(OPENSSH):
+        return is_ssh_public(data)
+    head = ssh_fields(data, len(OPENSSH), 3)  # cipher, key derivation, its options
+    if head is None or not (head[0][0].isascii() and head[0][0] and head[0][1].isascii() and head[0][1]):
+        return False
+    count = int.from_bytes(data[head[1] : head[1] + 4], "big")
+    if not 1 <= count <= 64:
+        return False
+    keys = ssh_fields(data, head[1] + 4, count + 1)
+    return keys is not None and keys[1] == len(data) and all(map(is_ssh_public, keys[0][:-1])) and len(keys[0][-1]) >= 8
 
 
 def key_kind(run: str) -> int | None:
@@ -144,7 +171,7 @@ def key_kind(run: str) -> int | None:
         k = head[1] & 0x7F if head[1] >= 0x80 else 0
         if 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1]) != size:
             return None
-    elif not head.startswith(b"openssh-key-v1\0") and not head[4:].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-")):
+    elif not head.startswith(OPENSSH) and not head[4:].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-")):
         return None
     raw = unbase64(run)
     if raw and is_ssh_key(raw):
@@ -161,6 +188,38 @@ def _json_object(part: str) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
+def signed_tokens(text: str) -> list[tuple[int, int]]:
+    out = []
+    for run in JWT_RUN.finditer(text):
+        head = run.group()
+        for start in JWT_START.finditer(head):
+            begins = unbase64(head[start.start() : start.start() + 16][: (len(head) - start.start()) // 4 * 4])
+            if not begins or not JSON_START.match(begins):
+                continue
+            rest = JWT_REST.match(text, run.end())
+            if rest is None:
+                break
+            fields = _json_object(head[start.start() :])
+            if fields and isinstance(fields.get("alg"), str) and (not rest[1] or _json_object(rest[1]) is not None):
+                out.append((run.start() + start.start(), rest.end()))
+                break
+    return out
+
+
+def wrapped_keys(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of keys over two lines or more; words may follow on the next line."""
+    out = []
+    for m in WRAPPED.finditer(text):
+        whole = m.group()
+        less = whole[: whole.rindex("\n")].rstrip()
+        for body in (whole, less) if "\n" in less else (whole,):
+            kind = key_kind("".join(body.split()))
+            if kind is not None:
+                out.append((m.start(), kind, m.start() + len(body)))
+                break
+    return out
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, place of the kind in KINDS, end), sorted."""
     if not text:
@@ -180,11 +239,8 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
         run = m.group()
         if len(run) % 2 == 0 and is_der_key(bytes.fromhex(run)):
             out.append((m.start(), 6, m.end()))
-    if "eyJ" in text:
-        for m in JWT.finditer(text):
-            head = _json_object(m[1])
-            if head and isinstance(head.get("alg"), str) and _json_object(m[2]) is not None:
-                out.append((m.start(), 3, m.end()))
+    if text.count(".") >= 2:
+        out += [(a, 3, z) for a, z in signed_tokens(text)]
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
             raw = unbase64(m[2])
@@ -197,6 +253,8 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
             if kind is not None:
                 out.append((m.start() + start.start(), kind, m.end()))
                 break
+    if "\n" in text:
+        out += wrapped_keys(text)
     return sorted(set(out))
 
 
