@@ -24,20 +24,22 @@ def training_rows(
     """At most max_per_class (label, text) of each label, without held-out rows.
 
     Rows are taken in an order of hashed ids, so the sample is the same in every run; texts are
-    whole, and rows are taken until max_chars is spent. An id with two labels or texts is used with each.
+    whole, and rows are taken until max_chars is spent, half of it for each label. A text that alone is longer than that half is
+    no training row (it is scored all the same). An id with two labels or texts is used with each, rows that repeat both once.
     """
     want = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     want = want.select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [want.where(F.col("y") == y).orderBy(*order).limit(max_per_class) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1])  # at most 2 * max_per_class rows: small by its limit
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     got = texts.join(F.broadcast(ids), "doc_id").withColumn("n", F.length("text"))
+    got = got.where(F.col("n") <= max_chars // 2).dropDuplicates(["doc_id", "y", "text"])
     # an even share of the characters for each class, in the same order
     from pyspark.sql import Window as W
 
     spent = F.sum("n").over(W.partitionBy("y").orderBy(*order, "text").rowsBetween(W.unboundedPreceding, 0))
-    got = got.withColumn("spent", spent).where((F.col("spent") <= max_chars // 2) | (F.col("spent") == F.col("n")))
+    got = got.withColumn("spent", spent).where(F.col("spent") <= max_chars // 2)
     rows = got.select("doc_id", "y", "text").collect()
     return [(r.y, r.text) for r in sorted(rows, key=lambda r: (str(r.doc_id), r.y, r.text))]
 

@@ -9,17 +9,19 @@ With one, a source gets its weight of the total, which may be less than all of i
 A source's budget is realised by block permutations: rows fall into BLOCKS blocks of a source
 by hash; every epoch visits the blocks in an order of its own. Full epochs take each row once;
 the last, partial epoch takes whole blocks while they fit the rest of the budget, and of the
-first block that does not fit the rows, by hash, that do. So a source is within one row of its
-budget, and only one block in BLOCKS of a source is ever put in order row by row; no
-task holds a source, however hot.
+first block that does not fit the rows, by hash, that do: that block is cut into BLOCKS parts by further bits of the hash,
+whose sums tell which part the budget ends in, and only the rows of that part (one in BLOCKS^2 of a source) are put in
+order. So a source is within one row of its budget, and no task holds a source or a block, however hot.
 
 What is small: one row per source and block (sources x BLOCKS, pre-aggregated before its
-shuffle) and one array over sources, on which the bisection runs as a SQL fold.
+shuffle) and one array over sources, on which the bisection runs as a SQL fold (some 40 bytes a source; for
+sources by the million, group them first).
 
 Cases: a null source is a source of its own; a null or empty text has no tokens and goes
 with the full epochs alone (a source without tokens is used once); repeated rows are mixed one
-by one, ties of the hash are broken by doc_id; an empty table gives an empty result; other
-columns are kept by `mix`, whatever their names, and its own columns start with an underscore.
+by one, ties of the hash are broken by doc_id, then tokens and text; an empty table gives an empty result; other
+columns are kept by `mix`, whatever their names: its own columns come last, named _epoch, _block and _block_key, with
+more underscores where docs has such a column.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.columns import unused
 from ledgerloom.llm.sharding import hash32
 from ledgerloom.session import written
 
@@ -57,6 +60,11 @@ def block_of(r: Column) -> Column:
     return (r / (2**32 // BLOCKS)).cast("int")
 
 
+def part_of(r: Column) -> Column:
+    """The part of its block that a row is in."""
+    return (r % (2**32 // BLOCKS) / (2**32 // BLOCKS // BLOCKS)).cast("int")
+
+
 def block_key(seed: int, source: Column, epoch: Column, block: Column) -> Column:
     """Blocks of an epoch are visited in ascending order of this."""
     return hash32(
@@ -157,38 +165,46 @@ def mix(
     source_col: str = "source",
     tokens: Column | None = None,
 ) -> DataFrame:
-    """docs, each row once per epoch that takes it, with _epoch, _block and _block_key."""
+    """docs, each row once per epoch that takes it, with its epoch, block and the block's key as last columns."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    epoch, block, key, n, place, copies, source, at, cut, part, of, of_block, of_part, fits, left, run = unused(
+        docs, "_epoch", "_block", "_block_key", "_tokens", "_rank", "_copies", "_source", "_at", "_cut", "_part", "_of", "_of_block",
+        "_of_part", "_fits", "_left", "_run",
+    )
+    by_source, by_id = F.col(f"`{source_col}`"), F.col(f"`{id_col}`")
     tokens = n_tokens(F.col("text")) if tokens is None else tokens
-    based = docs.withColumns({"__mix_tokens": tokens.cast("long"), "__mix_rank": rank(F.col(id_col), seed)})
-    based = based.withColumn("_block", block_of(F.col("__mix_rank")))
-    blocks = written(
-        based.groupBy(F.col(source_col).alias("source"), F.col("_block").alias("block")).agg(
-            F.sum("__mix_tokens").alias("tokens")
-        ),
-        "mix-blocks",
-    )
-    per_source = weights(blocks, target_entropy, max_repeats, total_tokens)
-    plan = written(block_plan(blocks, per_source, seed), "mix-plan")
-    named = plan.select(
-        F.col("source").alias("__mix_source"), F.col("block").alias("__mix_block"), F.col("epochs").alias("__mix_epochs"),
-        F.col("extra").alias("__mix_extra"), F.col("rest").alias("__mix_rest"),
-    )
+    based = docs.withColumns({n: F.coalesce(tokens.cast("long"), F.lit(0)), place: rank(by_id, seed)})
+    based = based.withColumn(block, block_of(F.col(place))).withColumn(part, part_of(F.col(place)))
+    blocks = based.groupBy(by_source.alias("source"), F.col(block).alias("block")).agg(F.sum(n).alias("tokens"))
+    blocks = written(blocks, "mix-blocks")
+    plan = written(block_plan(blocks, weights(blocks, target_entropy, max_repeats, total_tokens), seed), "mix-plan")
     small = plan.count() <= BROADCAST_ROWS
 
-    def joined(rows: DataFrame, side: DataFrame, bounded: bool) -> DataFrame:
-        on = (F.col("_block") == F.col("__mix_block")) & F.col(source_col).eqNullSafe(F.col("__mix_source"))
-        return rows.join(F.broadcast(side) if bounded else side, on)
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
 
-    whole = joined(based, named.where("__mix_rest is null"), small).withColumn(
-        "__mix_copies", F.col("__mix_epochs") + F.col("__mix_extra")
-    )
-    cut = joined(based, named.where("__mix_rest is not null"), small)
-    upto = F.sum("__mix_tokens").over(
-        W.partitionBy("__mix_source", "__mix_block").orderBy("__mix_rank", id_col).rowsBetween(W.unboundedPreceding, 0)
+    named = plan.select(
+        F.col("source").alias(source), F.col("block").alias(at), (F.col("epochs") + F.col("extra")).alias(copies), F.col("rest").alias(cut)
     )
-    cut = cut.withColumn("__mix_upto", upto)
-    cut = cut.withColumn("__mix_copies", F.col("__mix_epochs") + (F.col("__mix_upto") <= F.col("__mix_rest")).cast("int"))
-    both = whole.unionByName(cut.drop("__mix_upto")).where(F.col("__mix_copies") > 0)
-    out = both.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
-    out = out.withColumn("_block_key", block_key(seed, F.col(source_col), F.col("_epoch"), F.col("_block")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_epoch", "_block", "_block_key")
+    planned = based.join(side(named), (F.col(block) == F.col(at)) & by_source.eqNullSafe(F.col(source)))
+    # one block a source at most is cut, into BLOCKS parts at most
+    parts = planned.where(F.col(cut).isNotNull()).groupBy(source, at, part).agg(F.sum(n).alias("tokens"), F.min(cut).alias("rest"))
+    upto = F.sum("tokens").over(W.partitionBy(source).orderBy(part).rowsBetween(W.unboundedPreceding, 0))
+    parts = parts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("tokens"))
+    parts = written(
+        parts.select(
+            F.col(source).alias(of), F.col(at).alias(of_block), F.col(part).alias(of_part), (F.col("upto") <= F.col("rest")).alias(fits),
+            F.when((F.col("upto") > F.col("rest")) & (F.col("before") <= F.col("rest")), F.col("rest") - F.col("before")).alias(left),
+        ),
+        "mix-parts",
+    )
+    same = (F.col(block) == F.col(of_block)) & (F.col(part) == F.col(of_part)) & by_source.eqNullSafe(F.col(of))
+    told = planned.join(side(parts), same, "left")
+    whole = told.where(F.col(left).isNull()).withColumn(copies, F.col(copies) + F.coalesce(F.col(fits).cast("int"), F.lit(0)))
+    ties = [F.xxhash64("text")] if "text" in docs.columns else []
+    order = W.partitionBy(source).orderBy(F.col(place), by_id, F.col(n), *ties).rowsBetween(W.unboundedPreceding, 0)
+    last = planned.join(side(parts.where(F.col(left).isNotNull())), same).withColumn(run, F.sum(n).over(order))
+    last = last.withColumn(copies, F.col(copies) + (F.col(run) <= F.col(left)).cast("int"))
+    both = whole.select(*own, block, copies).unionByName(last.select(*own, block, copies)).where(F.col(copies) > 0)
+    out = both.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return out.select(*own, epoch, block, block_key(seed, by_source, F.col(epoch), F.col(block)).alias(key))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.exprs import let
+from ledgerloom.llm.columns import unused
 from ledgerloom.session import written
 
 #: The largest table that is broadcast; a larger one would need another way of placing.
@@ -97,12 +98,12 @@ def lookup_table(spark: SparkSession, shards=SHARDS, size: int = TABLE_SIZE) ->
 
 
 def place(
-    rows: DataFrame, table: DataFrame, key_col: str = "doc_id", size: int = TABLE_SIZE
+    rows: DataFrame, table: DataFrame, key_col: str = "doc_id", size: int = TABLE_SIZE, slot_name: str = "_slot", shard_name: str = "_shard"
 ) -> DataFrame:
-    """Adds _slot and _shard to rows by constant-time lookup."""
-    slot = (hash32(F.coalesce(F.col(key_col).cast("string"), F.lit(""))) % size).cast("int")
-    look = table.select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
-    return rows.withColumn("_slot", slot).join(F.broadcast(look), "_slot", "left")
+    """Adds slot and shard to rows by constant-time lookup."""
+    slot = (hash32(F.coalesce(F.col(f"`{key_col}`").cast("string"), F.lit(""))) % size).cast("int")
+    look = table.select(F.col("slot").alias(slot_name), F.col("shard").alias(shard_name))
+    return rows.withColumn(slot_name, slot).join(F.broadcast(look), slot_name, "left")
 
 
 def assign_shards(
@@ -114,9 +115,18 @@ def assign_shards(
     return placed.select("doc_id", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
 
 
-def write_shards(docs: DataFrame, path: str, shards=SHARDS, size: int = TABLE_SIZE, salts: int = 8) -> None:
-    """Write docs under path, one folder a shard; salts tasks share the writing of a shard."""
-    table = lookup_table(docs.sparkSession, shards, size)
-    placed = place(docs, table, "doc_id", size).withColumn("_salt", F.col("_slot") % salts)
-    out = placed.repartition(F.col("_shard"), F.col("_salt")).drop("_slot", "_salt")
-    out.withColumnRenamed("_shard", "shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+def write_shards(
+    docs: DataFrame, path: str, shards=SHARDS, size: int = TABLE_SIZE, id_col: str = "doc_id", salts: int | None = None
+) -> str:
+    """Write docs under path, one folder a shard, and return the name of the folders' column: shard, or with
+    underscores before it where docs has such a column. salts tasks share the writing of a shard (the session's
+    shuffle partitions over all shards), so no shard is one task."""
+    slot, shard, salt = unused(docs, "slot", "shard", "salt")
+    if salts is None:
+        salts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // len(shards))
+    placed = place(docs, lookup_table(docs.sparkSession, shards, size), id_col, size, slot, shard)
+    # neighbours of a repeated key part too
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))
+    out = placed.drop(slot).withColumn(salt, spread).repartition(F.col(shard), F.col(salt)).drop(salt)
+    out.write.partitionBy(shard).mode("overwrite").parquet(path)
+    return shard

@@ -105,6 +105,17 @@ def test_places_odd_rows(spark):
         sharding.lookup_table(spark, ("a",), 10)
 
 
+def test_shards_are_written_whole(spark, tmp_path):
+    docs = docs_of(spark, ODD).withColumns({"shard": F.lit("mine"), "slot": F.lit(1), "salt": F.lit(2)})
+    name = sharding.write_shards(docs, f"{tmp_path}/s", ("a", "b"), 11, salts=3)
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert name == "_shard" and back.columns == [*docs.columns, "_shard"]
+    key = lambda r: (str(r.doc_id), str(r.text))
+    assert sorted(map(key, back.collect())) == sorted(map(key, docs.collect()))
+    want = {str(r.doc_id): r.shard for r in sharding.assign_shards(docs, ("a", "b"), 11).collect()}
+    assert all(r["_shard"] == want[str(r.doc_id)] and r.shard == "mine" for r in back.collect())
+
+
 # chat
 
 
@@ -166,6 +177,43 @@ def test_mixing_meets_budgets(spark):
     assert max(each.values()) == 1 and {r.doc_id for r in out} == {i for i, *_ in rows}
 
 
+def test_mixing_cuts_to_the_row(spark, monkeypatch):
+    # the budget ends inside a part of a block; brute force over ranks
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    rng = random.Random(3)
+    rows = [(i, "s", rng.randrange(4)) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint").withColumns({"_block": F.lit(1), "_cut": F.lit(2), "_part": F.lit(3)})
+    total = sum(t for *_, t in rows)
+    rank = {r.doc_id: r.r for r in df.select("doc_id", mixing.rank(F.col("doc_id")).alias("r")).collect()}
+    keys = {b: int(hashlib.md5(f"0|s|1|{b}".encode()).hexdigest()[:8], 16) for b in range(4)}
+    for budget in (0, 1, total // 3, total - 1, total):
+        want, left, open_ = set(), budget, True
+        for b in sorted(keys, key=keys.get):
+            mine = sorted((rank[i], i, t) for i, _, t in rows if rank[i] // 2**30 == b)
+            whole = sum(t for *_, t in mine)
+            if open_ and whole <= left and budget:
+                want |= {i for _, i, _ in mine}
+                left -= whole
+            elif open_ and left:
+                run = 0
+                for _, i, t in mine:
+                    run += t
+                    if run <= left:
+                        want.add(i)
+                open_ = False
+            else:
+                open_ = False
+        out = mixing.mix(df, total_tokens=budget, tokens=F.col("tokens"))
+        assert out.columns == [*df.columns, "_epoch", "__block", "_block_key"]
+        assert collections.Counter(r.doc_id for r in out.collect()) == collections.Counter(want), budget
+
+
+def test_mixing_twice(spark):
+    df = spark.createDataFrame([(1, "a", "x y"), (2, None, None), (1, "a", "z")], "doc_id bigint, source string, text string")
+    once = mixing.mix(df)
+    assert mixing.mix(once).columns == [*once.columns, "__epoch", "__block", "__block_key"] and mixing.mix(once).count() >= 3
+
+
 def test_mixing_with_a_total(spark):
     rows = [(i, "ab"[i % 2], 10) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
@@ -195,15 +243,44 @@ def test_documents_round_trip(spark, tmp_path, monkeypatch):
     path = queries.tokenizer_path()
     rows = ODD + [(40, "a   b \n c\t d    e "), (41, " lead <|endoftext|> x's\n\n  y"), (42, "\n \n\n   z  "), (43, "x  y z"), (44, "don't  stop")]
     got = token_codes.encode_documents(docs_of(spark, rows), path).orderBy("start").collect()
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    start = 0
+    t = Tokenizer.from_file(path)  # the plain call of the library: special strings are special
+    start, whole = 0, []
     for (i, x), g in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), got, strict=True):
         ids = t.encode(x or "", add_special_tokens=False).ids + [2]
+        whole += ids
         crc = zlib.crc32(np.array(ids, "<u4").tobytes())
         assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (i, start, len(ids), crc)
         start += len(ids)
+    assert 50256 in whole
     assert token_codes.encode_documents(docs_of(spark, []), path).count() == 0
+    token_codes.write_documents(docs_of(spark, rows), f"{tmp_path}/segments", path)
+    asked = list(range(0, len(whole), 7)) * 2 + [len(whole) - 1, len(whole), -1, None, 10**12]
+    at = spark.createDataFrame([(p,) for p in asked], "position bigint")
+    got = {r.position: r.id for r in token_codes.tokens_at(spark, f"{tmp_path}/segments", at).collect()}
+    assert got == {p: whole[p] for p in asked if p is not None and 0 <= p < len(whole)}
+
+
+def test_encoder_is_the_plain_call(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_codes.Encoder, "STRETCH", 50)
+    monkeypatch.setattr(token_codes.Encoder, "CACHE_PIECES", 30)
+    path, rng = queries.tokenizer_path(), random.Random(21)
+    bits = ["a", "b", " ", "  ", "\n", "<|endoftext|>", "é", "漢", "don't", "x" * 70, "\u3000", "\t", "<|", "1"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(300)] + [None, "ab" * 5000]
+    ids, n = token_codes.Encoder(open(path, encoding="utf-8").read())(texts)
+    want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts[::10]]
+    stops = np.concatenate(([0], np.cumsum(n)))
+    assert [ids[stops[i] : stops[i + 1]].tolist() for i in range(0, len(texts), 10)] == want
+
+
+def test_pieces_that_share_a_hash_keep_their_ids(monkeypatch):
+    path = queries.tokenizer_path()
+    e = token_codes.Encoder(open(path, encoding="utf-8").read())
+    e.power[0][:] = 0  # every piece of one length has one hash; the second tells them apart
+    words = ["alpha bravo delta", "gamma other third bravo"]
+    ids, n = e(words)
+    assert ids.tolist() == [i for w in words for i in e.tok.encode(w, add_special_tokens=False).ids]
 
 
 # secrets
@@ -251,11 +328,13 @@ def test_structure_confirms(text, kind):
 OID = der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d")
 ENCRYPTED = der(0x30, der(0x30, OID, der(0x30, der(4, b"salt" * 2), der(2, b"\x08\0"))), der(4, bytes(range(128))))
 DIGEST = der(0x30, der(0x30, OID, der(5)), der(4, bytes(32)))
-OPENSSH = b"openssh-key-v1\0" + bytes(range(60))
+field = lambda x: len(x).to_bytes(4, "big") + x
+OPENSSH = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(SSH) + field(bytes(range(64)))
+GARBAGE = b"openssh-key-v1\0" + bytes(range(60))
 
 
 @pytest.mark.parametrize("before", ["", "key=", "url/", "a/b/", "x_", "id-", "k: "])
-@pytest.mark.parametrize("data,kind", [(KEY, "der"), (ENCRYPTED, "der"), (SSH, "ssh"), (OPENSSH, "ssh"), (DIGEST, None)])
+@pytest.mark.parametrize("data,kind", [(KEY, "der"), (ENCRYPTED, "der"), (SSH, "ssh"), (OPENSSH, "ssh"), (GARBAGE, None), (OPENSSH[:-1], None), (DIGEST, None)])
 def test_keys_after_any_sign(before, data, kind):
     value = b64encode(data).decode()
     spans = [s for s in secrets.find_spans(f"see {before}{value} end") if s[1] >= 5]
@@ -270,6 +349,27 @@ def test_hex_keys_of_either_case(before, case):
     assert spans == [(len(before), 6, len(before) + 2 * len(KEY))]
 
 
+@pytest.mark.parametrize("before", ["", "token=", "auth.", "x_", "www.a.", "b-"])
+@pytest.mark.parametrize("head", ['{"alg":"HS256"}', '{ "typ": "JWT",\n "alg": "none" }', ' {"alg":"ES256"}', '\n{"alg":"x"}'])
+def test_signed_tokens_of_any_spacing(before, head):
+    enc = lambda x: urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    for body in (enc('{ "sub": 1}'), ""):
+        token = f"{enc(head)}.{body}.c2ln"
+        spans = [s for s in secrets.find_spans(f"see {before}{token} end") if s[1] == 3]
+        assert spans == [(4 + len(before), 3, 4 + len(before) + len(token))]
+    assert not [s for s in secrets.find_spans(f"{enc(head)}.{enc('not json')}.c2ln a.b.c eyJhbGciOjF9.e30.x") if s[1] == 3]
+
+
+@pytest.mark.parametrize("data,kind", [(KEY, 6), (ENCRYPTED, 6), (OPENSSH, 5), (DIGEST, None), (GARBAGE, None)])
+@pytest.mark.parametrize("wide", [32, 64, 76])
+@pytest.mark.parametrize("after", ["", "\nword", " word", "\n"])
+def test_wrapped_keys(data, kind, wide, after):
+    value = b64encode(data).decode()
+    lines = "\n".join(value[i : i + wide] for i in range(0, len(value), wide))
+    spans = [s for s in secrets.find_spans(f"key: {lines}{after}") if s[1] >= 5]
+    assert spans == ([(5, kind, 5 + len(lines))] if kind else [])
+
+
 def test_encrypted_pem():
     pem = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{b64encode(ENCRYPTED).decode()}\n-----END ENCRYPTED PRIVATE KEY-----"
     assert (0, 4, len(pem)) in secrets.find_spans(pem)
@@ -286,6 +386,16 @@ def test_base_is_brute_force(spark):
 # decontamination
 
 
+def test_helpers_keep_clashing_columns(spark):
+    item = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, "x " + item), (2, "clean text of words"), (3, "clean text of words")], "doc_id bigint, text string")
+    df = df.withColumns({c: F.lit(c) for c in ("bad_id", "bad_mark", "key", "near_id", "near_h", "near_n", "h", "t", "root", "_kept", "_n")})
+    clean = decontaminate.drop_contaminated(df, spark.createDataFrame([(0, item)], "item_id int, text string"))
+    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {2, 3}
+    kept = near_dup.keep_one(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 2}
+
+
 def test_windows_are_brute_force(spark):
     rng = random.Random(8)
     items = [(i, prose(rng, n)) for i, n in enumerate((3, 5, 6, 14, 14, 30, 59))] + [(20, None), (21, ""), (22, "...")]
@@ -515,6 +625,40 @@ def test_toxicity_learns_a_pair():
     assert p[y == 1].min() > p[y == 0].max()
 
 
+def test_toxicity_learns_what_only_a_pair_tells():
+    # each word is as common in toxic texts as in others: toxic is one without the other
+    rng = random.Random(17)
+    rows = []
+    for i in range(1200):
+        a, b = i % 2, i // 2 % 2
+        w = prose(rng, 30, 60).split() + ["zilch"] * a + ["group"] * b
+        rng.shuffle(w)
+        rows.append((int(a != b), " ".join(w)))
+    m = toxicity.calibrated(rows[:800])
+    p = m.scores(toxicity.Terms(m.machine.bucket), [t for _, t in rows[800:]])
+    y = np.array([y for y, _ in rows[800:]])
+    assert np.mean((p >= 0.5) == y) > 0.97
+
+
+def test_machine_is_the_sum_over_pairs():
+    rng = np.random.default_rng(5)
+    m = toxicity.Model(0.3, np.arange(20), rng.normal(size=20), rng.normal(size=(20, toxicity.FACTORS)))
+    sets = [sorted(rng.choice(20, rng.integers(0, 9), replace=False).tolist()) for _ in range(30)]
+    col, row = (np.array(x, np.int64) for x in zip(*[(c, i) for i, s in enumerate(sets) for c in s]))
+    want = [m.bias + sum(m.w[c] for c in s) + sum(m.v[c] @ m.v[d] for c in s for d in s if c < d) for s in sets]
+    assert np.allclose(toxicity.raw_scores(m, col, row, len(sets)), want)
+
+
+def test_training_rows_are_bounded(spark):
+    from ledgerloom.llm.labelled import training_rows
+
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1][:40]
+    docs = spark.createDataFrame([(i, "x" * (5000 if k == 0 else 10)) for k, i in enumerate(ids)] * 5, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id bigint, quality int")
+    got = training_rows(docs, labels, "quality", 100, 400)
+    assert len(got) == 39 and all(len(t) == 10 for _, t in got)
+
+
 @pytest.mark.parametrize("fit", [quality_model.fit_texts, toxicity.calibrated])
 def test_models_without_labels(fit):
     for rows in ([], [(1, "a b c")], [(0, "")]):
