@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerloom.operators.catalog import idempotent_append, keep_first, upsert
+from ledgerloom.operators.catalog import idempotent_append, keep_first
 from ledgerloom.operators.scoring import Hysteresis, fold_signal
 
 OBSERVATION = "indicator_id string, observation_date date, value double, status string, fetched_at timestamp"
@@ -37,22 +37,26 @@ def into_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], ch
     return (w.trigger(availableNow=True) if now else w).start()
 
 
+def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What is under path, or nothing before the first batch."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
 def observation_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Appends what differs from the latest of its key; a batch that is handled again adds nothing."""
+    """Appends what differs from the latest of its key; a batch that is handled again gives the same rows again.
+
+    Each batch has a folder of its own. What a batch is compared with are the folders of the batches before it, never
+    its own: after a crash, or when it is replayed, its folder is written anew from the same comparison.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        log = spark.read.schema(OBSERVATION + ", is_revised boolean").option("recursiveFileLookup", True)
-        try:
-            known = log.parquet(path)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = spark.createDataFrame([], OBSERVATION + ", is_revised boolean")
+        log = _rows(batch.sparkSession, path, OBSERVATION + ", is_revised boolean, batch bigint")
+        known = log.where(F.col("batch") < batch_id).drop("batch")
         keys = ["indicator_id", "observation_date"]
         new = keep_first(batch, keys, [F.col("fetched_at").desc()])
         out = idempotent_append(known, new, keys, ["value", "status"], "fetched_at")
-        # files of a batch have a folder of their own, written anew if it is handled again
         out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return handle
@@ -62,19 +66,55 @@ def latest_observations(log: DataFrame) -> DataFrame:
     return keep_first(log, ["indicator_id", "observation_date"], [F.col("fetched_at").desc()])
 
 
-def upsert_sink(spark: SparkSession, path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """Keeps a table of the latest row of each key in versions; `current` names the last complete one."""
+def upsert_sink(path: str, keys: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Keeps a table of the latest row of each key (by `order`; of equal ones the newer batch's), read by `upserted`.
+
+    Rows are dealt to buckets by their key. A batch writes new versions of just the buckets that it has rows of, and then, last of
+    all, which version of every bucket counts. A crash before that leaves the old table; a batch that is handled again starts from the
+    pointer before it and gives the same table. Batch ids may have gaps. `buckets` bounds what one batch rewrites: choose it so that a
+    bucket is some hundred megabytes.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        new = keep_first(batch, keys, [F.col(order).desc()])
-        if batch_id > 0:
-            new = upsert(s.read.parquet(f"{path}/v{batch_id - 1}"), new, keys)
-        new.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        spark = batch.sparkSession
+        new = keep_first(batch, keys, [F.col(order).desc()]).withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        versions = _versions(spark, path, batch_id)
+        touched = sorted(r[0] for r in new.select("__bucket").distinct().collect())  # at most `buckets`
+        both = new.withColumn("__age", F.lit(0))
+        old = _bucket_rows(spark, path, {b: versions[b] for b in touched if b in versions})
+        if old is not None:
+            both = both.unionByName(old.withColumn("__age", F.lit(1)))
+        rows = keep_first(both, keys, [F.col(order).desc(), F.col("__age")]).drop("__age")
+        rows.write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/rows/__version={batch_id}")
+        now = sorted((versions | dict.fromkeys(touched, batch_id)).items())
+        pointer = spark.createDataFrame(now, "bucket int, version bigint").coalesce(1)
+        pointer.write.mode("overwrite").parquet(f"{path}/current/batch={batch_id}")
 
     return handle
 
 
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """The version of each bucket after the last complete batch (before a given one)."""
+    pointers = _rows(spark, f"{path}/current", "bucket int, version bigint, batch bigint")
+    if before is not None:
+        pointers = pointers.where(F.col("batch") < before)
+    last = pointers.agg(F.max("batch").alias("batch"))
+    return {r.bucket: r.version for r in pointers.join(F.broadcast(last), "batch").collect()}
+
+
+def _bucket_rows(spark: SparkSession, path: str, versions: dict[int, int]) -> DataFrame | None:
+    if not versions:
+        return None
+    paths = [f"{path}/rows/__version={v}/__bucket={b}" for b, v in sorted(versions.items())]
+    return spark.read.option("basePath", f"{path}/rows").parquet(*paths).drop("__version")
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that `upsert_sink` keeps; None before its first batch."""
+    rows = _bucket_rows(spark, path, _versions(spark, path))
+    return None if rows is None else rows.drop("__bucket")
+
+
 SIGNALS = "ticker string, day date, signal string, since date"
 
 
