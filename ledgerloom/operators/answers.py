@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.series import Series, with_percentile
+
 # What a snapshot's header says, in today's and in the older form (thousands of dollars).
 HEADER = r"총 보고 가치:\s*([\d,]+)\s*달러\s*/\s*보유 포지션 수:\s*(\d+)(?:\s*\(원문\s*\d+행\))?(?:\s*/\s*상위 5종목 집중도:\s*([\d.]+)%)?"
 HEADER_OLD = r"총 보고 가치:\s*([\d,]+)천 달러\s*/\s*보유 종목 수:\s*(\d+)(?:\s*/\s*상위 5종목 집중도:\s*([\d.]+)%)?"
@@ -85,6 +87,15 @@ def term_structure(near: DataFrame, far: DataFrame, day: str, value: str) -> Dat
     return j.withColumn("ratio", ratio).withColumn("backwardation", F.coalesce(ratio >= 1.0, F.lit(False))).drop("_far")
 
 
+def term_percentiles(ratios: DataFrame, day: str, ratio: str, windows: dict[str, int]) -> DataFrame:
+    """Adds the percentile of each ratio among those of its last days, a column a window (name: days, a year or five)."""
+    s = Series(("_one",), day)
+    out = ratios.withColumn("_one", F.lit(0))  # one series: a ratio a day
+    for name, days in windows.items():
+        out = with_percentile(out, s, ratio, days, name)
+    return out.drop("_one")
+
+
 def holdings_answer(snapshots: DataFrame, holdings: DataFrame, investor: str, published: str) -> DataFrame:
     """The latest snapshot of each investor with its largest holding, five largest and warnings. Holdings that were
     sold out do not count."""

@@ -97,6 +97,38 @@ def dedupe_plan(copies: DataFrame) -> DataFrame:
     return c.withColumn("keep", F.col("protected") | (F.row_number().over(w) == 1))
 
 
+def apply_dedupe(documents: DataFrame, plan: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents that stay, catalog with the path that stays) after a plan of `dedupe_plan` (id, path, keep)."""
+    lost = plan.where(~F.col("keep")).select("path")
+    kept = plan.where("keep").groupBy("id").agg(F.min("path").alias("_path"))
+    moved = catalog.join(lost.withColumn("_lost", F.lit(True)), "path", "left").join(kept, "id", "left")
+    path = F.when(F.col("_lost"), F.coalesce("_path", "path")).otherwise(F.col("path"))
+    return documents.join(lost, "path", "left_anti"), moved.withColumn("path", path).drop("_lost", "_path")
+
+
+def without_held(candidates: DataFrame, positions: DataFrame, name: str = "symbol_or_company") -> DataFrame:
+    """Candidates that are no position's symbol or name, whatever the case."""
+    held = positions.select(F.explode(F.array(F.lower("symbol"), F.lower("name"))).alias("_held")).where("_held IS NOT NULL").distinct()
+    return candidates.join(held, F.lower(name) == F.col("_held"), "left_anti")
+
+
+def previous_listed(filings: DataFrame, key: str, pos: str, period: str, out: str) -> DataFrame:
+    """Adds the position of the first filing in list order whose period is before a filing's own.
+
+    The listed filings of a key are few and lie beside each other in its array."""
+    listed = filings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(period).alias("d")))).alias("_all"))
+    first = F.get(F.filter("_all", lambda x: x["d"] < F.col(period)), F.lit(0))["p"]
+    return filings.join(listed, key).withColumn(out, first).drop("_all")
+
+
+def replaced_sections(log: DataFrame, new: DataFrame, keys: list[str], at: str, unit: str = "minute") -> DataFrame:
+    """A log of sections with those of new in place of those of the same key and minute (or day); others are kept."""
+    same = [*keys, "_slot"]
+    slot = F.date_trunc(unit, at)
+    latest = keep_first(new.withColumn("_slot", slot), same, [F.col(at).desc()])
+    return upsert(log.withColumn("_slot", slot), latest, same).drop("_slot")
+
+
 def take_until_seen(items: DataFrame, keys: list[str], pos: str, seen: Column) -> DataFrame:
     """Newest-first rows before the first one already seen."""
     w = W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)

@@ -45,20 +45,22 @@ def decoded(chunks: DataFrame, store: DataFrame, *columns: str) -> DataFrame:
 
 
 def hash_encode(text: Column, dim: int = 256) -> Column:
-    """Letter trigrams counted in `dim` buckets by an 8-byte BLAKE2b, scaled to length 1."""
+    """Letter trigrams counted in `dim` buckets by an 8-byte BLAKE2b, scaled to length 1.
+
+    Trigrams of a whole batch are gathered in one array; each distinct one is hashed once, and one count over (row,
+    bucket) makes all vectors."""
 
     @F.pandas_udf("array<float>")
     def encode(s: pd.Series) -> pd.Series:
-        out = []
-        for t in s:
-            v = np.zeros(dim)
-            t = (t or "").strip()
-            for i in range(max(1, len(t) - 2)) if t else ():
-                h = hashlib.blake2b(t[i : i + 3].encode(), digest_size=8).digest()
-                v[int.from_bytes(h, "big") % dim] += 1
-            n = np.sqrt((v * v).sum())
-            out.append((v / n if n else v).astype(np.float32).tolist())
-        return pd.Series(out)
+        texts = s.fillna("").str.strip().tolist()
+        grams = np.array([t[i : i + 3] for t in texts if t for i in range(max(1, len(t) - 2))], dtype=object)
+        of = np.repeat(np.arange(len(texts)), [max(1, len(t) - 2) if t else 0 for t in texts])
+        code, distinct = pd.factorize(grams)
+        digest = b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in distinct)
+        bucket = (np.frombuffer(digest, ">u8") % np.uint64(dim)).astype(np.int64)
+        counts = np.bincount(of * dim + bucket[code], minlength=len(texts) * dim).reshape(len(texts), dim) if len(grams) else np.zeros((len(texts), dim))
+        norm = np.sqrt((counts**2).sum(1, keepdims=True))
+        return pd.Series(list((counts / np.where(norm > 0, norm, 1)).astype(np.float32)))
 
     return encode(text)
 
@@ -93,3 +95,18 @@ def coverage_report(questions: DataFrame, covered: DataFrame, axis: str, gold: s
 def telemetry(chunks: DataFrame, kind: str, text: str) -> DataFrame:
     n = F.length(text)
     return chunks.groupBy(kind).agg(F.count("*").alias("chunks"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.percentile_approx(n, 0.5).alias("middle"))
+
+
+def state_summary(state: DataFrame) -> DataFrame:
+    """documents, chunks, embedded, oldest and newest of an index's state (doc_id, chunk_count, embedded_at, indexed_at)."""
+    return state.agg(
+        F.count("*").alias("documents"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"), F.count("embedded_at").alias("embedded"),
+        F.min("indexed_at").alias("oldest"), F.max("indexed_at").alias("newest"),
+    )
+
+
+def vector_records(concepts: DataFrame, allowed: tuple[str, ...] = ("stable",), least: int = 20) -> DataFrame:
+    """(id, embed_text) of concepts that get a vector: description and body."""
+    ok = vector_scope(F.col("okf_status"), F.col("body"), allowed, least).isNull()
+    both = F.concat_ws("\n\n", F.nullif(F.trim("description"), F.lit("")), F.trim("body"))
+    return concepts.where(ok).select("id", both.alias("embed_text"))

@@ -6,23 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Endings of names of research houses; words that send a question to a tool, in order.
-HOUSE = r"(증권|자산운용|투자증권|Securities|Research)$"
+# Endings of names of research houses; words that send a question to a tool, in order; beginnings that need no search.
+HOUSE = r"(증권|투자증권|자산운용|캐피탈|금융투자)$"
 ROUTES = (
-    ("holdings", r"13F|보유|편입|비중|집중도"),
-    ("catalog", r"공시|사업보고서|분기보고서|반기보고서|접수번호"),
-    ("graph", r"함께|같이|관련.*(종목|기업)|연관"),
+    ("holdings", r"13F|보유\s*(현황|종목|규모)|편입\s*종목|포트폴리오\s*(비중|상위|편입)|집중도|쏠림|최대\s*비중"),
+    ("catalog", r"접수번호|공시번호|accession|제출\s*(일|시점|했나|됐나)|언제\s*(제출|접수|냈)"),
+    ("graph", r"또\s*무엇을?\s*언급|함께\s*언급|같이\s*언급|관련\s*종목|연관\s*종목|어떤\s*종목.*(함께|같이)"),
 )
-GREETING = r"^\s*(안녕|hello|hi|고마워|thanks)?\s*[!.?]*\s*$"
+GREETING = r"^\s*(?:안녕|반갑|반가워|고마|감사|잘\s*지|수고|ㅎㅇ|ㄱㅅ)|(?i)^\s*(?:hi|hello|hey|thanks?|thank you|ok|okay)(?![\p{L}\p{N}_])|^\s*$"
 
 
 def route(question: Column) -> Column:
-    out = F.when(question.rlike("(?i)" + GREETING), "skip")
+    """skip for a greeting or an empty question, else the first tool whose words it holds, else documents."""
+    out = F.when(F.coalesce(question, F.lit("")).rlike(GREETING), "skip")
     for name, pattern in ROUTES:
-        out = out.when(question.rlike("(?i)" + pattern), name)
+        out = out.when(question.rlike(pattern), name)
     return out.otherwise("documents")
 
 
+def with_aliases(lexicon: DataFrame) -> DataFrame:
+    """(name, key, canonical): names of two characters or more, and for a name of several Latin words its first two and its
+    first, if of four characters or more and no name themselves; of one alias of several names, the least name's."""
+    names = lexicon.where(F.length("name") >= 2).groupBy("name").agg(F.min("key").alias("key")).withColumn("canonical", F.col("name"))
+    words = F.regexp_extract_all("name", F.lit(r"[A-Za-z][A-Za-z0-9&.\-]*"), F.lit(0))
+    short = names.withColumn("w", words).select("key", "canonical", F.explode(F.array(*[
+        F.when(F.size("w") > n, F.array_join(F.slice("w", 1, n), " ")) for n in (2, 1)
+    ])).alias("name")).where(F.length("name") >= 4)
+    short = short.groupBy("name").agg(F.min(F.struct("canonical", "key")).alias("m")).select("name", "m.key", "m.canonical")
+    return names.unionByName(short.join(names.select("name"), "name", "left_anti"))
+
+
 def mentions(docs: DataFrame, lexicon: DataFrame, id_col: str, text: Column, limit: int | None = 20, chars: int | None = 8000) -> DataFrame:
     """(id, key, pos): names of the lexicon (name, key) among runs of 4 to 20 letters of a document's first
     characters, a run also without its last one or two; the first `limit` keys by place. None of chars or limit: all.

@@ -4,9 +4,11 @@ regimes, valuation, hysteresis."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -223,6 +225,76 @@ def signal_status(today: DataFrame, key: str, day: str, fired: str) -> DataFrame
     return j.withColumn("status", status).drop("_k", "_d", "_f")
 
 
+def score_changes(current: DataFrame, snapshots: DataFrame, days: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
+    """Adds change_<n>d to current (ticker, day, score): score less that of the last snapshot (ticker, day, score) at or
+    before n days earlier, to one place; null without one.
+
+    One pass: snapshots and the days asked for lie in one sorted run of a ticker."""
+    asked = current.select("ticker", "day", F.explode(F.array(*[F.lit(n) for n in days])).alias("_n"))
+    asked = asked.select("ticker", F.date_sub("day", F.col("_n")).alias("_at"), F.col("day").alias("_day"), "_n", F.lit(None).cast("double").alias("_score"), F.lit(1).alias("_asks"))
+    held = snapshots.where("score IS NOT NULL").select("ticker", F.col("day").alias("_at"), F.lit(None).cast("date").alias("_day"), F.lit(None).cast("int").alias("_n"), F.col("score").cast("double").alias("_score"), F.lit(0).alias("_asks"))
+    run = W.partitionBy("ticker").orderBy("_at", "_asks").rowsBetween(W.unboundedPreceding, 0)
+    found = held.unionByName(asked).withColumn("_was", F.last("_score", True).over(run)).where("_asks = 1")
+    wide = found.groupBy("ticker", "_day").agg(*[F.max(F.when(F.col("_n") == n, F.col("_was"))).alias(f"_was{n}") for n in days])
+    out = current.join(wide.withColumnRenamed("_day", "day"), ["ticker", "day"], "left")
+    return out.withColumns({f"change_{n}d": F.round(F.col("score") - F.col(f"_was{n}"), 1) for n in days}).drop(*[f"_was{n}" for n in days])
+
+
+def top_signals(signals: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
+    """The n most severe of the watched and confirmed signals of each key, with their rank."""
+    w = W.partitionBy(*keys).orderBy(F.col("severity").desc(), "indicator")
+    live = signals.where(F.col("status").isin("watch", "confirmed"))
+    return live.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+# Special categories and what is missing where one has no score.
+SPECIAL = {
+    "earnings_outlook": "earnings_revision_inputs", "normalized_valuation": "valuation_scenarios",
+    "price_supply_demand": "price_metrics", "macro_liquidity": "macro_liquidity_score",
+}
+
+
+def stock_scores(categories: DataFrame, special: DataFrame, weights: dict[str, float], tiers: DataFrame, gates: DataFrame, penalty: float = 0.02) -> DataFrame:
+    """(ticker, total, coverage, confidence, gate, thesis, missing): a whole score of each ticker in one plan.
+
+    categories: (ticker, category, score, coverage, missing) of `category_scores`; special: (ticker, and a column of each of
+    SPECIAL's scores or null); tiers: (ticker, source_tier) of the features that contributed; gates: (ticker, gate_id) that fired.
+    Only categories with a weight count; the total is weighted over those with a score, whose share of all weight is the coverage."""
+    named = [c for c in SPECIAL if c in weights]
+    each = F.array(*[
+        F.struct(F.lit(c).alias("category"), F.col(c).cast("double").alias("score"), F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0).alias("coverage"),
+                 F.when(F.col(c).isNull(), F.array(F.lit(SPECIAL[c]))).otherwise(F.array().cast("array<string>")).alias("missing"))
+        for c in named
+    ])
+    rows = categories.where(~F.col("category").isin(*SPECIAL)).select("ticker", "category", "score", "coverage", "missing")
+    if named:
+        rows = rows.unionByName(special.select("ticker", F.explode(each).alias("x")).select("ticker", "x.*"))
+    rows = rows.withColumn("weight", weights_of(F.col("category"), weights))
+    has = F.when(F.col("score").isNotNull(), F.col("weight")).otherwise(0.0)
+    one = rows.groupBy("ticker").agg(
+        F.round(F.try_divide(F.sum(has * F.coalesce("score", F.lit(0.0))), F.sum(has)), 1).alias("total"),
+        F.coalesce(F.round(F.try_divide(F.sum(has), F.sum("weight")), 3), F.lit(0.0)).alias("coverage"),
+        F.array_sort(F.flatten(F.collect_list("missing"))).alias("missing"),
+    )
+    seen = tiers.groupBy("ticker").agg(F.collect_list("source_tier").alias("_tiers"))  # a feature each
+    fired = gates.select("ticker").distinct().withColumn("gate", F.lit(True))
+    out = one.join(seen, "ticker", "left").join(fired, "ticker", "left").withColumn("gate", F.coalesce("gate", F.lit(False)))
+    sure = confidence(F.col("coverage"), F.coalesce("_tiers", F.array().cast("array<string>")), F.size("missing"), penalty)
+    return out.withColumns({"confidence": sure, "thesis": F.when(F.col("gate"), "impaired").otherwise("maintained")}).drop("_tiers")
+
+
+def buy_allowed(total: Column, sure: Column, rises: Column, thesis: Column, gate: Column, seconds: Column, signal: Column, least_total: float, least_sure: float, least_rises: int, least_seconds: int) -> Column:
+    """All conditions of a new purchase; an unknown total is none."""
+    ok = (total >= least_total) & (sure >= least_sure) & (rises >= least_rises) & ~thesis.isin("impaired", "invalidated") & ~gate
+    return F.coalesce(ok & (seconds >= least_seconds) & signal.isin("strong_buy_candidate", "accumulate_candidate"), F.lit(False))
+
+
+def sell_review(total: Column, thesis: Column, gate: Column, cuts: Column, signal: Column) -> Column:
+    """Any reason to review a position: a total below 50, a broken thesis, a gate, two quarters of cuts, or the signal."""
+    parts = (total < 50, thesis.isin("impaired", "invalidated"), gate, cuts >= 2, signal.isin("reduce_review", "sell_review"))
+    return reduce(lambda a, b: a | b, [F.coalesce(p, F.lit(False)) for p in parts])
+
+
 # hysteresis
 
 

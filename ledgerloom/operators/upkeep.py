@@ -85,17 +85,20 @@ def target_period(filings: DataFrame, key: str, done: DataFrame) -> DataFrame:
     return t.join(done.select(key, "period"), [key, "period"], "left_anti")
 
 
-# Endings of securities' names that tell the form, not the company.
-SECURITY_ENDINGS = ("sponsored", "spn", r"adr(?:\s*\d+:\d+)?", "reit", "inc", "corp", "corporation", "co", "ltd", "plc", "llc", "sa", "nv", "ag", "holdings?", "hldgs?", "group", "class [a-c]", "cl [a-c]", "common", "com", "new", "pref")
-
-
-def security_name(name: Column) -> Column:
-    """The company's part of a security's name: all endings at its end come off in one match, which is what taking
-    them off one by one would come to; 60 characters at most, the whole name if nothing is left."""
-    clean = F.trim(F.regexp_replace(name, "[‘’'\"]", ""))
-    endings = r"(?i)(?:[\s.,-]+(?:" + "|".join(SECURITY_ENDINGS) + r")\.?)+[\s.,-]*$"
-    bare = F.regexp_replace(F.regexp_replace(clean, endings, ""), r"[\s.,-]+$", "")
-    return let(bare, lambda n: F.substring(F.when(n == "", F.trim(name)).otherwise(n), 1, 60))
+# Fixed value: endings of securities' names that tell the form, not the company.
+SECURITY_FORM = (
+    r"(?i)\s*(?:sponsored\s+)?(?:spn\.?)?\s*(?:adr(?:\s*\d+:\d+)?|reit|inc\.?|corp(?:oration)?\.?|co\.?|ltd\.?|plc|llc|sa|nv|ag|holdings?|hldgs?|group|"
+    r"class\s+[a-c]|common|pref|cl\s*[a-c])\b\.?"
+)
+
+
+def security_name(name: Column, rounds: int = 8) -> Column:
+    """The company's part of a security's name: forms come off wherever they end a word, and again from what is left, up to
+    `rounds` times (a name of 60 characters has fewer forms side by side); 60 characters at most, the whole name if nothing is left."""
+    out = F.trim(F.regexp_replace(name, "[‘’'\"]", ""))
+    for _ in range(rounds):
+        out = F.regexp_replace(F.regexp_replace(out, SECURITY_FORM, ""), r"^[ .,-]+|[ .,-]+$", "")
+    return let(out, lambda n: F.substring(F.when(n == "", F.trim(name)).otherwise(n), 1, 60))
 
 
 def promote(registry: DataFrame, mentioned: DataFrame) -> DataFrame:

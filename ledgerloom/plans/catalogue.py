@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import analysis, answers, catalog, holdings, knowledge, scoring, search, series, stored, streaming, upkeep
+from ledgerloom.plans import analysis, answers, assist, catalog, holdings, knowledge, scoring, search, series, stored, streaming, upkeep
 
-PARTS = (search, stored, series, holdings, catalog, scoring, knowledge, analysis, answers, upkeep, streaming)
+PARTS = (search, stored, series, holdings, catalog, scoring, knowledge, analysis, answers, upkeep, assist, streaming)
 
 
 def queries() -> dict:

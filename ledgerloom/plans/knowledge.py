@@ -9,10 +9,19 @@ from ledgerloom.sources import payloads as P
 from ledgerloom.session import table
 
 
+# Questions people ask, each with the place it goes to, judged by what the words mean and not by a pattern.
+ASKED = (
+    ("버크셔 13F 알려줘", "holdings"), ("보유 종목이 뭐야", "holdings"), ("포트폴리오 비중 상위 종목", "holdings"), ("AI 매출 비중 전망", "documents"),
+    ("삼성전자 공시 요약", "documents"), ("접수번호 알려줘", "catalog"), ("언제 제출했나", "catalog"), ("이 보고서 제출일은", "catalog"), ("함께 언급된 회사", "graph"),
+    ("에이피알과 관련 종목", "graph"), ("관련 있는 기업", "documents"), ("안녕하세요 반가워요", "skip"), ("  hello there", "skip"), ("history of the firm", "documents"),
+    ("okay", "skip"), ("고마워요!", "skip"), ("", "skip"), ("목표주가 근거", "documents"), ("최대 비중은", "holdings"), ("어떤 종목이 같이 나왔나", "graph"),
+)
+
+
 def routes(spark, sf_dir):
-    qs = ["13F 비중 알려줘", "사업보고서 접수번호", "함께 언급된 종목", "목표주가 근거", "hello!", "관련 있는 기업"]
-    n = table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(F.array(*[F.lit(q) for q in qs]), (F.col("n_nationkey") % 6 + 1).cast("int")).alias("q"))
-    return n.select("n_nationkey", K.route(F.col("q")).alias("route"))
+    """Every question of ASKED for each nation."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(F.array(*[F.lit(q) for q, _ in ASKED])).alias("i", "q"))
+    return n.select("n_nationkey", "i", K.route(F.col("q")).alias("route"))
 
 
 def _lexicon(spark, sf_dir):
@@ -96,7 +105,7 @@ def fred_series(spark, sf_dir):
 
 
 QUERIES = {
-    "routes": (routes, "SELECT n_nationkey, ['holdings', 'catalog', 'graph', 'documents', 'skip', 'graph'][n_nationkey % 6 + 1] AS route FROM nation"),
+    "routes": (routes, f"SELECT n_nationkey, (i - 1)::INTEGER AS i, l[i] AS route FROM (SELECT n_nationkey, {[r for _, r in ASKED]} AS l, unnest(range(1, {len(ASKED) + 1})) AS i FROM nation)"),
     "entity_mentions": (entity_mentions, """WITH lx AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9A-Za-z]{8,20}')) AS name FROM benchmark),
 r AS (SELECT doc_id, i - 1 AS pos, l[i] AS run FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(substr(coalesce(text, ''), 1, 8000), '[0-9A-Za-z가-힣]{4,20}') AS l FROM documents))),
 t AS (SELECT DISTINCT doc_id, pos, unnest([run, substr(run, 1, greatest(length(run) - 1, 3)), substr(run, 1, greatest(length(run) - 2, 3))]) AS name FROM r),

@@ -91,7 +91,7 @@ SELECT event_type, day, coalesce(h >= 0.35, false) AS approaching, coalesce(h >=
  '- ' || o_orderpriority || ': ' || o_orderkey || 'x (' || year(o_orderdate) || ', [' || o_orderstatus || '](u/' || o_orderstatus || '))' AS line FROM orders),
 c AS (SELECT o_custkey, string_agg('u/' || o_orderstatus, ' ' ORDER BY n) AS citations FROM (SELECT o_custkey, o_orderstatus, min(n) AS n FROM r GROUP BY 1, 2) GROUP BY 1)
 SELECT o_custkey, string_agg(line, chr(10) ORDER BY n) FILTER (n <= 5) AS lines, any_value(citations) AS citations FROM r JOIN c USING (o_custkey) GROUP BY 1"""),
-    "security_names": (security_names, "SELECT s_suppkey, s_name AS name FROM supplier"),
+    "security_names": (security_names, "SELECT s_suppkey, s_name || ['', '', ', COM', '', ', New'][s_suppkey % 5 + 1] AS name FROM supplier"),
     "target_periods": (target_periods, """WITH t AS (SELECT o_custkey, arg_max(o_orderdate::DATE, o_orderkey) AS period, max(o_orderdate::DATE) AS latest FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1) SELECT o_custkey, period FROM t WHERE NOT (o_custkey % 2 = 0 AND period = latest)"""),
     "refetched": (refetched, "SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN sha256('new body') ELSE 'old' END AS content_hash, CASE WHEN doc_id % 5 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS readable_ratio, false AS truncated, doc_id % 5 > 0 AS llm_processed, CASE WHEN doc_id % 5 = 0 THEN 11 ELSE length(coalesce(text, '')) END::INTEGER AS chars FROM documents"),
     "source_rewind": (source_rewind, "SELECT n_name AS source_id, CASE WHEN n_nationkey NOT IN (2, 3) THEN n_nationkey::VARCHAR END AS last_seen_id, n_nationkey % 2 = 0 AND n_nationkey <> 2 AS backfill_completed FROM nation"),

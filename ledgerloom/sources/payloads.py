@@ -118,6 +118,21 @@ CHART = (
 )
 
 
+def corp_codes(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """(corp_code, corp_name, stock_code or null, modify_date) of a corporation-code file's XML; missing parts are empty."""
+    items = F.explode(F.regexp_extract_all(payload, F.lit(r"(?s)<list>(.*?)</list>"), F.lit(1)))
+    part = lambda tag: unescape_xml(F.trim(F.regexp_extract("x", rf"(?s)<{tag}>(.*?)</{tag}>", 1)))
+    rows = df.select(*[c for c in df.columns if c != payload], items.alias("x"))
+    out = {t: part(t) for t in ("corp_code", "corp_name", "stock_code", "modify_date")}
+    return rows.withColumns(out).withColumn("stock_code", F.nullif("stock_code", F.lit(""))).drop("x")
+
+
+def unescape_xml(text: Column) -> Column:
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
+    return text
+
+
 def price_chart(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Bars of a chart payload; a bar without a price is dropped, a missing volume is 0."""
     keep = [c for c in df.columns if c != payload]

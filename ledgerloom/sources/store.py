@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.catalog import keep_first
+
 DOCUMENTS = (
     "id string, source_type string, source_name string, title string, author string, canonical_url string, published_at timestamp, collected_at timestamp, "
     "content_hash string, capture_mode string, capture_reason string, companies array<string>, filing_type string, reporting_period date, language string, "
@@ -24,7 +26,11 @@ FEATURES = (
     "source_url string, source_tier string, fact_type string, confidence double, max_age_days int, details map<string,string>"
 )
 # Days after which a concept of a type is stale.
-STALE_AFTER = {"MarketCommentary": 14, "ResearchNote": 90, "SecFiling": 400, "DartFiling": 400, "HoldingsSnapshot": 120}
+STALE_AFTER = {
+    "DartFiling": 400, "SecFiling": 400, "HoldingsSnapshot": 120, "MarketCommentary": 90, "BlogPost": 365, "ResearchNote": 365, "Essay": 3650,
+    "CentralBankStatement": 400, "WebSearchResult": 30,
+}
+STALE_DEFAULT = 365
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -32,12 +38,18 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_documents(new: DataFrame, path: str, known: DataFrame | None = None) -> None:
-    """Append documents that are not there with the same content, by type and year."""
+    """Append documents that are not there with the same content, by type and year. `current_documents` reads them: a
+    document whose content changed is there in both versions, of which the one collected last counts."""
     if known is not None:
         new = new.join(known.select("id", "content_hash"), ["id", "content_hash"], "left_anti")
     new.withColumn("year", F.year("published_at")).write.mode("append").partitionBy("source_type", "year").parquet(path)
 
 
+def current_documents(spark: SparkSession, path: str, schema: str = DOCUMENTS) -> DataFrame:
+    """Each document once, as it was collected last."""
+    return keep_first(spark.read.schema(schema).parquet(path), ["id"], [F.col("collected_at").desc_nulls_last(), F.col("content_hash")])
+
+
 def write_partitions(df: DataFrame, path: str, *by: str) -> None:
     """Replace just the partitions that df has rows of."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
@@ -57,7 +69,7 @@ def snapshot_dates(df: DataFrame, key: str, name: str) -> DataFrame:
 
 def stale_after(okf_type, published):
     days = F.try_element_at(F.create_map(*[F.lit(x) for kv in STALE_AFTER.items() for x in kv]), okf_type)
-    return F.date_add(published, days)
+    return F.date_add(published, F.coalesce(days, F.lit(STALE_DEFAULT)))
 
 
 def markdown_table(rows: DataFrame, limit: int = 200) -> str:
