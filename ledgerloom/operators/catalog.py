@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -144,28 +148,38 @@ def within_budget(costs: DataFrame, ts: str, cost: str, daily: int, monthly: int
     local = F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone)
     c = costs.withColumn("_day", F.to_date(local)).withColumn("_month", F.trunc(F.to_date(local), "month"))
 
-    def before(part: str) -> Column:
-        return F.coalesce(F.sum(cost).over(W.partitionBy(part).orderBy(ts).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    def before(value: str, part: str, order: str) -> Column:
+        return F.coalesce(F.sum(value).over(W.partitionBy(part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
-    c = c.withColumn("day_spent", before("_day")).withColumn("month_spent", before("_month"))
+    # a month is 31 sums of days; only a day's own rows are put in order
+    days = c.groupBy("_month", "_day").agg(F.sum(cost).alias("_sum"))
+    days = days.select(F.col("_day").alias("_of"), before("_sum", "_month", "_day").alias("_earlier"))
+    c = c.withColumn("day_spent", before(cost, "_day", ts)).join(days, F.col("_day") == F.col("_of"))
+    c = c.withColumn("month_spent", F.col("_earlier") + F.col("day_spent")).drop("_of", "_earlier")
     return c.withColumn("allowed", (F.col("day_spent") < daily) & (F.col("month_spent") < monthly)).drop("_day", "_month")
 
 
 def pack(items: DataFrame, keys: list[str], order: str, size: str, most_items: int, most_size: int) -> DataFrame:
-    """Adds batch: items in order, a new batch when the next would pass either limit. State feeds back, so
-    each key is folded in one task; keys are meant to be sources, not the corpus."""
-    w = W.partitionBy(*keys).orderBy(order)
-    rows = items.withColumn("_n", F.row_number().over(w))
-    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_n", F.col(size).cast("bigint").alias("s")))).alias("xs"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["k"] + 1 > most_items) | ((acc["s"] + x["s"] > most_size) & (acc["k"] > 0))
-        b = F.when(new, acc["b"] + 1).otherwise(acc["b"])
-        return F.struct(
-            b.alias("b"), F.when(new, 1).otherwise(acc["k"] + 1).alias("k"), F.when(new, x["s"]).otherwise(acc["s"] + x["s"]).alias("s"),
-            F.concat(acc["out"], F.array(b)).alias("out"),
-        )
-
-    zero = F.struct(F.lit(0).alias("b"), F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("s"), F.array().cast("array<int>").alias("out"))
-    folded = lists.select(*keys, F.posexplode(F.aggregate("xs", zero, step, lambda a: a["out"])).alias("_p", "batch"))
-    return rows.join(folded.withColumn("_n", F.col("_p") + 1).drop("_p"), [*keys, "_n"]).drop("_n")
+    """Adds batch: items in order, a new batch when the next would pass either limit.
+
+    State feeds back, so the items of a key pass one task in order (keys are meant to be sources, not the corpus); they stream
+    through it, and nothing is held but the batch's counts."""
+    names = items.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, batch, count, total = None, 0, 0, 0
+        for b in batches:
+            ids = list(zip(*[b.column(names.index(k)).to_pylist() for k in keys], strict=True))
+            out = []
+            for at, n in zip(ids, b.column(names.index(size)).to_pylist(), strict=True):
+                n = int(n or 0)
+                if at != key:
+                    key, batch, count, total = at, 0, 0, 0
+                if count + 1 > most_items or (total + n > most_size and count):
+                    batch, count, total = batch + 1, 0, 0
+                count, total = count + 1, total + n
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*names, "batch"])
+
+    schema = StructType([*items.schema.fields, StructField("batch", IntegerType())])
+    return items.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)

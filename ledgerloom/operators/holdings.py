@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.portfolio import totals_weight
+
 #: Values of filings before this day are in thousands of dollars.
 DOLLAR_SINCE = "2023-01-03"
 
@@ -50,8 +52,8 @@ def holding_changes(previous: DataFrame, current: DataFrame, keys: list[str], ow
         F.col("c.value").alias("_now"),
         F.when(before != 0, (here - before) / before * 100.0).alias("shares_change_pct"),
     )
-    total = F.sum("_now").over(W.partitionBy(*owner) if owner else W.partitionBy())
-    return out.withColumn("weight_pct", F.try_divide(F.col("_now") * 100.0, total)).drop("_now")
+    out = totals_weight(out, "_now", list(owner), "weight_pct")
+    return out.withColumn("weight_pct", F.col("weight_pct") * 100.0).drop("_now")
 
 
 def concentration(positions: DataFrame, owner: list[str], value: str, top: int = 5) -> DataFrame:

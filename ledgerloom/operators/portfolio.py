@@ -17,20 +17,20 @@ def position_metrics(positions: DataFrame, prices: DataFrame, rates: DataFrame)
     value = F.col("quantity") * F.col("price") * F.coalesce(F.col("rate"), F.lit(1.0))
     p = p.withColumn("market_value", value)
     gain = F.when(F.col("average_cost") != 0, (F.col("price") - F.col("average_cost")) / F.col("average_cost"))
-    return p.withColumn("return_pct", gain * 100.0).withColumn(
-        "weight", F.try_divide(F.col("market_value"), F.sum("market_value").over(W.partitionBy()))
-    )
+    return totals_weight(p.withColumn("return_pct", gain * 100.0), "market_value", [])
 
 
 def totals_weight(positions: DataFrame, value: str, owner: list[str], out: str = "weight") -> DataFrame:
-    """Weight within an owner, by a pre-aggregated total instead of a window over all its rows."""
+    """Weight within an owner (or of all), by a pre-aggregated total instead of a window over all its rows."""
     total = positions.groupBy(*owner).agg(F.sum(value).alias("_total"))
-    return positions.join(total, owner).withColumn(out, F.try_divide(F.col(value), F.col("_total"))).drop("_total")
+    # without owners the total is one row
+    both = positions.join(total, owner) if owner else positions.join(F.broadcast(total))
+    return both.withColumn(out, F.try_divide(F.col(value), F.col("_total"))).drop("_total")
 
 
 def sector_weights(positions: DataFrame, sector: str, value: str) -> DataFrame:
     s = positions.groupBy(sector).agg(F.sum(value).alias("sector_value"))
-    return s.withColumn("sector_weight", F.try_divide(F.col("sector_value"), F.sum("sector_value").over(W.partitionBy())))
+    return totals_weight(s, "sector_value", [], "sector_weight")
 
 
 def guardrails(
@@ -70,8 +70,13 @@ def rank_allocation(held: DataFrame, candidates: DataFrame) -> DataFrame:
     rows = held.select("name", F.lit("held").alias("kind"), "confidence", F.lit(0).alias("_o")).unionByName(
         candidates.where("tier = 'candidate'").select("name", F.lit("new").alias("kind"), "confidence", F.lit(1).alias("_o"))
     )
-    w = W.orderBy(F.col("confidence").desc(), "_o", "name")
-    return rows.withColumn("rank", F.row_number().over(w)).drop("_o")
+    # how many stand before each confidence and kind: as few rows as there are confidences
+    level = rows.groupBy("confidence", "_o").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.orderBy(F.col("confidence").desc(), "_o").rowsBetween(W.unboundedPreceding, 0))
+    level = level.select(F.col("confidence").alias("_c"), F.col("_o").alias("_k"), (upto - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("confidence", "_o").orderBy("name"))
+    placed = rows.withColumn("_i", inside).join(level, F.col("confidence").eqNullSafe(F.col("_c")) & (F.col("_o") == F.col("_k")))
+    return placed.select("name", "kind", "confidence", (F.col("_before") + F.col("_i")).cast("int").alias("rank"))
 
 
 def vote(claims: DataFrame, keys: list[str]) -> DataFrame:
