@@ -6,22 +6,32 @@ arrays are zipped and exploded. Files are read whole, one payload a row, so a fi
 
 from __future__ import annotations
 
+import csv
 import io
+import json
 import re
 import zipfile
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
 from ledgerloom.operators.holdings import value_unit
 
+try:
+    import yaml
+except ImportError:  # headers are then read natively, configuration is not
+    yaml = None
+
 
 def read_payloads(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, payload): whole text files under a folder, however deep."""
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return r.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
+    r = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return r.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
 
 
 def _inline(arrays: dict[str, Column]) -> Column:
@@ -249,17 +259,136 @@ def decode_document(raw: Column) -> Column:
     return decode(raw)
 
 
+def header_map(head: Column) -> Column:
+    """map<string, string> of a YAML header: lists as values joined by |, nested mappings as JSON, dates as ISO; null where it is
+    no YAML mapping. Without PyYAML, `key: value` lines and `- item` lists are read natively."""
+    if yaml is None:
+        folded = F.regexp_replace(F.regexp_replace(head, r"\n\s*-\s+", "|"), r":\s*\|", ": ")
+        lines = F.filter(F.split(folded, "\n"), lambda x: x.rlike(r"^\s*[\w-]+\s*:"))
+        key = lambda x: F.trim(F.substring_index(x, ":", 1))
+        value = lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), r"^[\"']|[\"']$", "")
+        return F.map_from_entries(F.transform(lines, lambda x: F.struct(key(x), value(x))))
+
+    def plain(v) -> str | None:
+        if v is None or isinstance(v, str):
+            return v
+        if isinstance(v, list) and not any(isinstance(x, (list, dict)) for x in v):
+            return "|".join("" if x is None else plain(x) for x in v)
+        if isinstance(v, (list, dict)):
+            return json.dumps(v, ensure_ascii=False, default=str)
+        return str(v).lower() if isinstance(v, bool) else v.isoformat() if hasattr(v, "isoformat") else str(v)
+
+    @F.pandas_udf("map<string,string>")
+    def parse(heads: pd.Series) -> pd.Series:
+        def one(h: str | None):
+            try:
+                got = yaml.load(h, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)) if h else None
+            except yaml.YAMLError:
+                return None
+            return {str(k): plain(v) for k, v in got.items()} if isinstance(got, dict) else None
+
+        return heads.map(one)
+
+    return parse(head)
+
+
 def vault_documents(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """(path, meta map, title, body, sections) of markdown with a header between --- lines; a document without one is
-    dropped. The header is `key: value` lines and `- item` lists, which become one value joined by |."""
+    """(path, meta map, title, body, sections) of markdown with a YAML header between --- lines; a document without one, or
+    with one that does not parse, is dropped."""
     from ledgerloom.operators.chunking import sections
 
-    head = F.regexp_extract(payload, r"(?s)\A---\s*\n(.*?)\n---\s*\n", 1)
-    body = F.regexp_replace(payload, r"(?s)\A---\s*\n.*?\n---\s*\n", "")
-    folded = F.regexp_replace(F.regexp_replace(head, r"\n\s*-\s+", "|"), r":\s*\|", ": ")
-    lines = F.filter(F.split(folded, "\n"), lambda x: x.rlike(r"^\s*[\w-]+\s*:"))
-    key = lambda x: F.trim(F.substring_index(x, ":", 1))
-    value = lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), r"^[\"']|[\"']$", "")
-    meta = F.map_from_entries(F.transform(lines, lambda x: F.struct(key(x), value(x))))
-    d = df.where(head != "").select(*[c for c in df.columns if c != payload], meta.alias("meta"), body.alias("body"))
-    return d.withColumn("title", F.try_element_at("meta", F.lit("title"))).withColumn("sections", sections(F.col("body")))
+    head = F.regexp_extract(payload, r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)", 1)
+    body = F.regexp_replace(payload, r"(?s)\A---\s*\n.*?\n---\s*(?:\n|\z)", "")
+    d = df.where(head != "").select(*[c for c in df.columns if c != payload], header_map(head).alias("meta"), body.alias("body"))
+    return d.where("meta IS NOT NULL").withColumn("title", F.try_element_at("meta", F.lit("title"))).withColumn("sections", sections(F.col("body")))
+
+
+def config_table(spark: SparkSession, path: str, root: str, schema: str) -> DataFrame:
+    """The list under `root` of a YAML file as a table; keys that are not declared are left out, missing ones are null.
+
+    A file of configuration is small: it is read on the driver, by Spark's reader, from any store."""
+    from pyspark.sql.types import StructType
+
+    if yaml is None:
+        raise ImportError("reading YAML configuration needs PyYAML")
+    (text,) = [r.payload for r in read_payloads(spark, path).collect()]
+    fields = StructType.fromDDL(schema).fieldNames()
+    rows = (yaml.safe_load(text) or {}).get(root) or []
+    return spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], schema)
+
+
+# Columns of the published positioning reports.
+POSITIONING = {
+    "code": "CFTC_Contract_Market_Code", "day": "Report_Date_as_YYYY-MM-DD", "oi": "Open_Interest_All",
+    "manager_long": "Asset_Mgr_Positions_Long_All", "manager_short": "Asset_Mgr_Positions_Short_All",
+    "leveraged_long": "Lev_Money_Positions_Long_All", "leveraged_short": "Lev_Money_Positions_Short_All",
+}
+
+
+def positioning_zips(spark: SparkSession, path: str, code: str) -> DataFrame:
+    """(day, oi, manager_net_pct, leveraged_net_pct) of one contract from yearly zip files of reports: net positions in percent of
+    the open interest. Rows that do not parse or have no open interest are left out. A file is a row: a year is small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column("content").to_pylist():
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    names = [n for n in z.namelist() if n.lower().endswith(".txt")]
+                    table = z.read(names[0]).decode("utf-8", "replace") if names else ""
+                rows = [{k: (r.get(c) or "").strip() for k, c in POSITIONING.items()} for r in csv.DictReader(io.StringIO(table))]
+                mine = [r for r in rows if r["code"] == code]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in mine], pa.string()) for k in POSITIONING], list(POSITIONING))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
+    r = files.select("content").mapInArrow(run, ", ".join(f"{k} string" for k in POSITIONING))
+    number = {k: F.col(k).try_cast("double") for k in POSITIONING if k not in ("code", "day")}
+    r = r.select(F.col("day").try_cast("date").alias("day"), *[v.alias(k) for k, v in number.items()]).dropna().where("oi <> 0")
+    net = lambda side: ((F.col(f"{side}_long") - F.col(f"{side}_short")) / F.col("oi") * 100).alias(f"{side}_net_pct")
+    return r.select("day", "oi", net("manager"), net("leveraged"))
+
+
+def absolute(url: Column, base: str) -> Column:
+    """A link against its page's site."""
+    site = re.match(r"https?://[^/]+", base)[0]
+    return F.when(url.rlike(r"^https?://"), url).when(F.startswith(url, F.lit("//")), F.concat(F.lit("https:"), url)).when(F.startswith(url, F.lit("/")), F.concat(F.lit(site), url)).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), url))
+
+
+def button_link(html: Column, host: str) -> Column:
+    """The link of a button in a page's embedded JSON that leads to a host; null without one."""
+    return F.nullif(F.regexp_extract(html, rf'"buttonLink":"(https://{re.escape(host)}/[^"]+)"', 1), F.lit(""))
+
+
+def original_pdf(html: Column) -> Column:
+    """Of labelled files that a page opens, the first whose label names no translation."""
+    call = r"openPDF\('([^']*)',\s*'(https://[^']*\.pdf[^']*)'\)"
+    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(call), F.lit(1)).alias("label"), F.regexp_extract_all(html, F.lit(call), F.lit(2)).alias("url"))
+    return F.get(F.filter(pairs, lambda p: ~p["label"].rlike(r"_(JPN|KRN|SC|TC)$")), F.lit(0))["url"]
+
+
+@dataclass(frozen=True)
+class IndexPage:
+    """How a site's index lists articles: a pattern of a card (group 1 its link, group 2 its inside), one of the title in it, and of
+    parts it may have: summary, date (read by `date_format`)."""
+
+    card: str
+    title: str
+    base: str
+    summary: str | None = None
+    date: str | None = None
+    date_format: str = "MMMM d, yyyy"
+
+
+#: Cards are links with a marked heading.
+CARDS = IndexPage(r'(?s)<a\b(?=[^>]*data-gs-uitk-component="card")[^>]*?href="([^"]+)"[^>]*>(.*?)</a>', r'(?s)<h4\b[^>]*data-gs-uitk-component="card-title"[^>]*>(.*?)</h4>', "https://www.goldmansachs.com")
+
+
+def index_articles(df: DataFrame, page: IndexPage, payload: str = "payload") -> DataFrame:
+    """(url, title, summary, day) of an index page's articles, links made whole, each once, the first kept; a card without a
+    title is none."""
+    keep = [c for c in df.columns if c != payload]
+    pick = lambda i: F.regexp_extract_all(payload, F.lit(page.card), F.lit(i))
+    e = df.select(*keep, F.posexplode(F.arrays_zip(pick(1).alias("link"), pick(2).alias("inside"))).alias("pos", "c"))
+    part = lambda pattern: F.trim(X.strip_markup(F.regexp_extract("c.inside", pattern, 1))) if pattern else F.lit(None).cast("string")
+    day = F.try_to_date(part(page.date), page.date_format) if page.date else F.lit(None).cast("date")
+    e = e.select(*keep, "pos", absolute(F.col("c.link"), page.base).alias("url"), part(page.title).alias("title"), F.nullif(part(page.summary), F.lit("")).alias("summary"), day.alias("day")).where("title <> ''")
+    return e.groupBy(*keep, "url").agg(F.min_by(F.struct("title", "summary", "day"), "pos").alias("a")).select(*keep, "url", "a.*")

@@ -118,13 +118,13 @@ def test_signal_gap_starts_anew(spark):
 
 def test_table_keeps_header():
     t = "| a | b |\n|---|---|\n" + "\n".join(f"| {i} | {'x' * 40} |" for i in range(10))
-    pieces = chunking.table_pieces(t, 150)
+    pieces = chunking.table_texts(t, 150)
     assert len(pieces) > 1 and all(p.startswith("| a | b |\n|---|---|\n") for p in pieces)
     assert sum(p.count("\n") - 1 for p in pieces) == 10
 
 
 def test_prose_overlaps():
-    pieces = chunking.prose_pieces("One two. " * 60, 100, 20)
+    pieces = chunking.sentence_texts("One two. " * 60, 100, 20)
     assert all(len(p) <= 121 for p in pieces)
     assert all(b.startswith(a[-20:]) for a, b in zip(pieces, pieces[1:]))
 
