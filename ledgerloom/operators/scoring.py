@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.exprs import bounded
+
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     """Null stays null."""
@@ -66,7 +68,7 @@ def category_scores(features: DataFrame, specs: DataFrame, as_of: Column) -> Dat
     and stale features count as missing. The specs are a small table of configuration.
     """
     tickers = features.select("ticker").distinct()
-    wanted = tickers.join(F.broadcast(specs))
+    wanted = tickers.join(bounded(specs, 10_000, "specs of metrics"))
     f = features.select("ticker", "metric", "value", "trend", "source_tier", "fact_type", "published_at", "max_age_days")
     j = wanted.join(f, ["ticker", "metric"], "left")
     stale = F.coalesce(F.datediff(as_of, F.to_date("published_at")) > F.col("max_age_days"), F.lit(False))

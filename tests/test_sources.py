@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators import answers, assistant, bundle, catalog, chunking, indexing, knowledge, scoring, stored_index
+from ledgerloom.operators import answers, assistant, bundle, catalog, chunking, indexing, knowledge, scoring, search, stored_index
 from ledgerloom.sources import payloads as P
 from ledgerloom.sources import store
 from ledgerloom.streaming import collect
@@ -277,3 +277,17 @@ def test_payloads_are_whole_files(spark, tmp_path):
     (tmp_path / "a/x.md").write_text("one\ntwo")
     (tmp_path / "y.txt").write_text("no")
     assert [(p.rsplit("/", 1)[1], t) for p, t in rows(P.read_payloads(spark, str(tmp_path), "*.md"))] == [("x.md", "one\ntwo")]
+
+
+@pytest.mark.parametrize("block", [5_000, 3])
+def test_vector_search_is_brute_force(spark, block):
+    rng = random.Random(6)
+    vec = lambda d=4: [float(rng.randrange(-2, 3)) for _ in range(d)]
+    data = [(f"r{i:03d}", vec()) for i in range(150)] + [("null", None), ("short", vec(3)), ("empty", [])]
+    asked = [(i, vec()) for i in range(7)] + [(90, vec(3)), (91, None)]
+    got = search.vector_search(spark.createDataFrame(data, "vec_id string, embedding array<float>").repartition(5), spark.createDataFrame(asked, "qid int, embedding array<float>"), 10, block=block)
+    want = []
+    for q, v in asked:
+        near = sorted((-sum(x * y for x, y in zip(v, w)), i) for i, w in data if v and w and len(w) == len(v))[:10]
+        want += [(q, i, -s, n) for n, (s, i) in enumerate(near, 1)]
+    assert sorted((r.qid, r.id, r.score, r["rank"]) for r in got.collect()) == sorted(want)
