@@ -31,12 +31,14 @@ BROADCAST_ROWS = 1_000_000
 @dataclass(frozen=True)
 class Layout:
     """fields: text columns and their weights. carry: columns that searches filter by. buckets: choose it so that
-    the postings of a bucket are some hundred megabytes."""
+    the postings of a bucket are some hundred megabytes. nfkc: texts and questions are brought to that Unicode form first, so that
+    full-width and composed letters are found in either form (one Arrow pass of each text, when it is indexed)."""
 
     uid: str = "uid"
     fields: tuple[tuple[str, float], ...] = (("text", 1.0),)
     carry: tuple[str, ...] = ()
     buckets: int = 16
+    nfkc: bool = True
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -47,7 +49,7 @@ def _token_rows(chunks: DataFrame, layout: Layout) -> DataFrame:
     """(uid, carry, terms array<struct<term, w>>)."""
 
     def of(field: str, weight: float) -> Column:
-        return F.transform(X.index_tokens(F.coalesce(F.col(field), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+        return F.transform(X.index_tokens(F.coalesce(F.col(field), F.lit("")), nfkc=layout.nfkc), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
     terms = F.concat(*[of(f, w) for f, w in layout.fields])
     return chunks.select(F.col(layout.uid).alias("uid"), *layout.carry, terms.alias("terms")).withColumn("dl", F.size("terms"))
@@ -136,7 +138,7 @@ def postings(spark: SparkSession, path: str, layout: Layout = Layout(), terms: l
 def search(spark: SparkSession, path: str, queries: DataFrame, layout: Layout = Layout(), allowed: Column | None = None) -> DataFrame:
     """(qid, id, score): BM25 of every live document that holds a term of a query and is allowed (by carried columns)."""
     _, documents, tokens = stats(spark, path)
-    q = queries.select("qid", F.explode(X.query_terms(F.col("text"))).alias("term"))
+    q = queries.select("qid", F.explode(X.query_terms(F.col("text"), nfkc=layout.nfkc)).alias("term"))
     asked = q.select("term").distinct()
     some = [r.term for r in asked.limit(LITERAL_TERMS + 1).collect()]
     if len(some) <= LITERAL_TERMS:

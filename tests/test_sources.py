@@ -233,6 +233,14 @@ def test_index_compacts(spark, tmp_path):
     assert stored_index.stats(spark, b)[1:] == stored_index.stats(spark, a)[1:]
 
 
+def test_index_knows_other_forms(spark, tmp_path):
+    layout = stored_index.Layout("id", buckets=2)
+    docs = spark.createDataFrame([(1, "ＡＢＣ１２３ corp"), (2, "삼성전자"), (3, "other")], "id int, text string")
+    stored_index.build(docs, f"{tmp_path}/i", layout)
+    q = spark.createDataFrame([(1, "abc123"), (2, "삼성"), (3, "ＯＴＨＥＲ")], "qid int, text string")
+    assert sorted((r.qid, r.id) for r in stored_index.search(spark, f"{tmp_path}/i", q, layout).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_sources_fail_alone():
     told = []
 
