@@ -4,6 +4,7 @@ fallbacks, price summaries, batches of claims."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.series import Series, with_percentile
@@ -137,3 +138,66 @@ def macro_liquidity(cooling: Column) -> Column:
 
 def monetisation_gap(capex_growth: Column, revenue_growth: Column) -> Column:
     return capex_growth - revenue_growth
+
+
+# Sections that claims fill, and what they hold without any.
+CLAIM_SECTIONS = {"핵심 주장": "(추출된 핵심 주장 없음)", "근거": "(근거 없음)", "반대 근거": "(반대 근거 없음)", "언급 자산": "(언급 자산 없음)"}
+
+
+def spliced(body: Column, claims: Column) -> Column:
+    """A body whose sections of CLAIM_SECTIONS hold what claims say; other sections stay as they are.
+
+    claims: array<struct<claim, direction, confidence, evidence array, counter_evidence array, assets array>>."""
+    claims = F.coalesce(claims, F.array().cast(CLAIMS))
+    bullets = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat(F.lit("- "), x)), "\n")
+    gathered = lambda name: F.flatten(F.transform(claims, lambda c: F.coalesce(c[name], F.array().cast("array<string>"))))
+    said = F.transform(claims, lambda c: F.concat(c["claim"], F.lit(" ("), c["direction"], F.lit(", 확신도: "), c["confidence"], F.lit(")")))
+    texts = [bullets(said), bullets(gathered("evidence")), bullets(gathered("counter_evidence")), F.array_join(F.array_distinct(gathered("assets")), ", ")]
+    parts = F.split(body, r"(?m)(?=^## .)")
+
+    def part(p: Column) -> Column:
+        name = F.trim(F.regexp_extract(p, r"\A## (.+)", 1))
+        out = p
+        for (section, none), text in zip(CLAIM_SECTIONS.items(), texts, strict=True):
+            filled = F.concat(F.lit(f"## {section}\n"), F.when(text == "", none).otherwise(text), F.lit("\n\n"))
+            out = F.when(F.startswith(p, F.lit("## ")) & (name == section), filled).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(parts, part), "")
+
+
+CLAIMS = "array<struct<claim:string,direction:string,confidence:string,evidence:array<string>,counter_evidence:array<string>,assets:array<string>>>"
+
+
+def inbox_plan(lines: DataFrame, known: DataFrame, supported: list[str]) -> DataFrame:
+    """(line_no, type, value, status, text): what becomes of each line of an inbox (line_no, text).
+
+    Ticked lines are left alone; of the others, one that is no `- [ ] type: value` or of another type is parse_error, one whose value is
+    known (type, key) or stands in a line before is skipped_duplicate, the rest is added. Lines that were added or skipped
+    come back ticked."""
+    pattern = r"^\s*- \[([ xX])\]\s*(\w+)\s*:\s*([^|]+?)\s*(?:\|.*)?$"
+    g = [F.regexp_extract("text", pattern, i) for i in (1, 2, 3)]
+    p = lines.select("line_no", "text", F.nullif(F.lower(g[1]), F.lit("")).alias("type"), F.nullif(g[2], F.lit("")).alias("value"), F.col("text").rlike(r"^\s*- \[[xX]\]").alias("_ticked"))
+    p = p.where("NOT _ticked AND trim(text) <> ''").withColumn("_key", F.lower("value"))
+    first = p.groupBy("type", "_key").agg(F.min("line_no").alias("_first"))
+    have = known.select("type", F.lower("key").alias("_key")).distinct().withColumn("_known", F.lit(True))
+    j = p.join(first, ["type", "_key"], "left").join(have, ["type", "_key"], "left")
+    bad = F.col("type").isNull() | ~F.col("type").isin(*supported)
+    again = F.coalesce("_known", F.lit(False)) | (F.col("line_no") > F.col("_first"))
+    status = F.when(bad, "parse_error").when(again, "skipped_duplicate").otherwise("added")
+    ticked = F.regexp_replace("text", r"^(\s*- \[) \]", "$1x]")
+    return j.select("line_no", "type", "value", status.alias("status"), F.when(bad, F.col("text")).otherwise(ticked).alias("text"))
+
+
+def growth_features(points: DataFrame) -> DataFrame:
+    """(ticker, metric, value, period, max_age_days) of quarterly points (ticker, concept, as_of, value) of operating cash flow
+    and capital expenditure: growth against four quarters back, in percent of its size; free cash flow where both are known."""
+    w = W.partitionBy("ticker", "metric").orderBy("as_of")
+    named = {"capital_expenditure": "capex_growth", "operating_cash_flow": "operating_cash_flow_growth"}
+    metric = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
+    own = points.where(F.col("concept").isin(*named)).select("ticker", "as_of", metric[F.col("concept")].alias("metric"), F.when(F.col("concept") == "capital_expenditure", F.abs("value")).otherwise(F.col("value")).alias("value"))
+    both = points.where(F.col("concept").isin(*named)).groupBy("ticker", "as_of").agg(F.sum("value").alias("value"), F.count_distinct("concept").alias("_n"))
+    free = both.where("_n = 2").select("ticker", "as_of", F.lit("free_cash_flow_growth").alias("metric"), "value")
+    e = own.unionByName(free).withColumn("_old", F.lag("value", 4).over(w)).withColumn("_last", F.row_number().over(W.partitionBy("ticker", "metric").orderBy(F.col("as_of").desc())))
+    e = e.where("_last = 1 AND _old <> 0")
+    return e.select("ticker", "metric", F.round((F.col("value") - F.col("_old")) / F.abs("_old") * 100.0, 2).alias("value"), F.col("as_of").alias("period"), F.lit(120).alias("max_age_days"))

@@ -5,6 +5,10 @@ Every step takes and gives DataFrames, a row a question, so any number of questi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from typing import Protocol
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,3 +104,48 @@ def sampled_questions(documents: DataFrame, n: int, seed: int = 7, chars: int =
         some = rows.orderBy(place(kind), "id").limit(n).select(F.lit(kind).alias("kind"), F.col("q").alias("text"), F.col("id").alias("gold"))
         out = some if out is None else out.unionByName(some)
     return out.withColumn("qid", F.row_number().over(W.orderBy("kind", "gold"))).select("qid", "kind", "text", "gold")
+
+
+@dataclass(frozen=True)
+class Tool:
+    """What a model is told of a tool, and how a frame of questions (qid, text) is run through it: to (qid, ok, n_evidence, ..)."""
+
+    name: str
+    description: str
+    run: Callable[[DataFrame], DataFrame]
+    parameters: dict = field(default_factory=lambda: {"type": "object", "properties": {"query": {"type": "string"}}, "required": ["query"]})
+
+
+def run_tools(questions: DataFrame, tools: list[Tool]) -> DataFrame:
+    """(qid, tool, ok, n_evidence) of each tool for the questions that go to it; the tool named documents answers all."""
+    routed, out = questions.withColumn("_to", route(F.col("text"))), None
+    for t in tools:
+        mine = questions if t.name == "documents" else routed.where(F.col("_to") == t.name).drop("_to")
+        got = t.run(mine).select("qid", F.lit(t.name).alias("tool"), "ok", "n_evidence")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+class SearchBackend(Protocol):
+    """A search over a corpus: (qid, id, score) of questions (qid, text), lower scores first."""
+
+    def __call__(self, queries: DataFrame, allowed=None) -> DataFrame: ...
+
+
+class PriceSource(Protocol):
+    """Bars (symbol, date, open, high, low, close, volume) of symbols (symbol)."""
+
+    def __call__(self, symbols: DataFrame, days: int) -> DataFrame: ...
+
+
+class Contextualizer(Protocol):
+    """Chunks (chunk_uid, text, ..) with a column `context` to stand before each: from metadata, or from a model."""
+
+    def __call__(self, chunks: DataFrame) -> DataFrame: ...
+
+
+def metadata_context(columns: list[str]) -> Contextualizer:
+    """Context from metadata alone: what is known of a chunk's document, in one line."""
+    from ledgerloom.operators.chunking import context_header
+
+    return lambda chunks: chunks.withColumn("context", context_header([F.col(c) for c in columns]))

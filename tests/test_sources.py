@@ -299,3 +299,41 @@ def test_vector_search_is_brute_force(spark, block):
         near = sorted((-sum(x * y for x, y in zip(v, w)), i) for i, w in data if v and w and len(w) == len(v))[:10]
         want += [(q, i, -s, n) for n, (s, i) in enumerate(near, 1)]
     assert sorted((r.qid, r.id, r.score, r["rank"]) for r in got.collect()) == sorted(want)
+
+
+def test_claims_are_spliced(spark):
+    body = "lead\n## 핵심 주장\nold\n## Other\nkeep\n## 근거\n## 언급 자산\nx\n"
+    claims = [("c1", "bullish", "high", ["e1", "e2"], [], ["NVDA", "AMD"]), ("c2", "bearish", "low", None, [], ["NVDA"])]
+    df = spark.createDataFrame([(body, claims), (body, [])], f"body string, claims {answers.CLAIMS}")
+    a, b = (r.x for r in df.select(answers.spliced(F.col("body"), F.col("claims")).alias("x")).collect())
+    assert a == "lead\n## 핵심 주장\n- c1 (bullish, 확신도: high)\n- c2 (bearish, 확신도: low)\n\n## Other\nkeep\n## 근거\n- e1\n- e2\n\n## 언급 자산\nNVDA, AMD\n\n"
+    assert b == "lead\n## 핵심 주장\n(추출된 핵심 주장 없음)\n\n## Other\nkeep\n## 근거\n(근거 없음)\n\n## 언급 자산\n(언급 자산 없음)\n\n"
+
+
+def test_inbox(spark):
+    lines = ["- [ ] sec: NVDA | core", "- [x] sec: OLD", "- [ ] sec: nvda", "- [ ] dart: 005930", "- [ ] what: x", "text", "", "- [ ] sec: TSLA"]
+    df = spark.createDataFrame(list(enumerate(lines, 1)), "line_no int, text string")
+    known = spark.createDataFrame([("sec", "TSLA")], "type string, key string")
+    got = sorted((r.line_no, r.status, r.text) for r in answers.inbox_plan(df, known, ["sec", "dart"]).collect())
+    assert got == [
+        (1, "added", "- [x] sec: NVDA | core"), (3, "skipped_duplicate", "- [x] sec: nvda"), (4, "added", "- [x] dart: 005930"), (5, "parse_error", "- [ ] what: x"),
+        (6, "parse_error", "text"), (8, "skipped_duplicate", "- [x] sec: TSLA"),
+    ]
+
+
+def test_growth_features(spark):
+    q = [D(2023, 3, 31), D(2023, 6, 30), D(2023, 9, 30), D(2023, 12, 31), D(2024, 3, 31)]
+    points = [("A", "operating_cash_flow", d, v) for d, v in zip(q, (100.0, 1.0, 1.0, 1.0, 150.0))]
+    points += [("A", "capital_expenditure", d, -v) for d, v in zip(q, (50.0, 1.0, 1.0, 1.0, 40.0))] + [("B", "operating_cash_flow", q[0], 1.0)]
+    got = answers.growth_features(spark.createDataFrame(points, "ticker string, concept string, as_of date, value double")).collect()
+    assert sorted((r.ticker, r.metric, r.value, r.period) for r in got) == [("A", "capex_growth", -20.0, q[4]), ("A", "free_cash_flow_growth", 120.0, q[4]), ("A", "operating_cash_flow_growth", 50.0, q[4])]
+
+
+def test_tools_run(spark):
+    q = spark.createDataFrame([(1, "13F 알려줘"), (2, "근거가 뭐야"), (3, "접수번호")], "qid int, text string")
+    tool = lambda name, ok, n: assistant.Tool(name, name, lambda d: d.select("qid", F.lit(ok).alias("ok"), F.lit(n).alias("n_evidence")))
+    ran = assistant.run_tools(q, [tool("holdings", True, 3), tool("catalog", False, 0), tool("documents", True, 2)])
+    got = {r.qid: (r.tool, r.ok, r.n_evidence, r.fell_back) for r in assistant.answered(q, ran).collect()}
+    assert got == {1: ("holdings", True, 3, False), 2: ("documents", True, 2, False), 3: ("documents", True, 2, True)}
+    chunks = spark.createDataFrame([("a", "title", "")], "chunk_uid string, t string, d string")
+    assert assistant.metadata_context(["t", "d"])(chunks).first().context == "title"
