@@ -31,7 +31,8 @@ def _lexicon(spark, sf_dir):
 
 
 def entity_mentions(spark, sf_dir):
-    return K.mentions(table(spark, sf_dir, "documents"), _lexicon(spark, sf_dir), "doc_id", F.coalesce("text", F.lit(""))).select(F.col("id").alias("doc_id"), "key", "pos")
+    """All names in whole texts; the operator's defaults (8,000 characters, 20 names) are for the pages of a reader."""
+    return K.mentions(table(spark, sf_dir, "documents"), _lexicon(spark, sf_dir), "doc_id", F.coalesce("text", F.lit("")), limit=None, chars=None).select(F.col("id").alias("doc_id"), "key", "pos")
 
 
 def entity_match(spark, sf_dir):
@@ -107,10 +108,10 @@ def fred_series(spark, sf_dir):
 QUERIES = {
     "routes": (routes, f"SELECT n_nationkey, (i - 1)::INTEGER AS i, l[i] AS route FROM (SELECT n_nationkey, {[r for _, r in ASKED]} AS l, unnest(range(1, {len(ASKED) + 1})) AS i FROM nation)"),
     "entity_mentions": (entity_mentions, """WITH lx AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9A-Za-z]{8,20}')) AS name FROM benchmark),
-r AS (SELECT doc_id, i - 1 AS pos, l[i] AS run FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(substr(coalesce(text, ''), 1, 8000), '[0-9A-Za-z가-힣]{4,20}') AS l FROM documents))),
+r AS (SELECT doc_id, i - 1 AS pos, l[i] AS run FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z가-힣]{4,20}') AS l FROM documents))),
 t AS (SELECT DISTINCT doc_id, pos, unnest([run, substr(run, 1, greatest(length(run) - 1, 3)), substr(run, 1, greatest(length(run) - 2, 3))]) AS name FROM r),
 m AS (SELECT doc_id, lower(name) AS key, min(pos)::INTEGER AS pos FROM t JOIN lx USING (name) GROUP BY 1, 2)
-SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, key) <= 20"""),
+SELECT * FROM m"""),
     "entity_match": (entity_match, """WITH q AS (SELECT s_suppkey AS qid, 'from NATION_' || s_nationkey || ' to NATION_' || (s_suppkey % 25) AS t FROM supplier)
 SELECT qid, n_nationkey AS key, n_name AS name, (row_number() OVER (PARTITION BY qid ORDER BY length(n_name) DESC, n_name))::INTEGER AS rank FROM q JOIN nation ON contains(t, n_name)"""),
     "graph_two_hop": (graph_two_hop, """WITH r AS (SELECT o_orderkey, o_custkey % 40 AS ch, list_distinct([(o_orderkey % 53)::VARCHAR, (o_custkey % 31)::VARCHAR]) AS e, o_orderdate FROM orders),
