@@ -563,6 +563,29 @@ def test_crowds_hide_no_pair(spark):
     assert all(cls[i] == i for i in cls if i >= 10_000)
 
 
+def test_recall_by_edit_similarity(spark):
+    # pairs at stated word-edit similarities, alone and with a passage that 1,000 other texts hold
+    rng, n = random.Random(31), 60
+    own = lambda k: [f"x{rng.randrange(10**9)}" for _ in range(k)]
+    passage, rows, level = own(60), [], {}
+    for crowd in (0, 1):
+        for s in (80, 85, 90, 95):
+            for _ in range(n):
+                a = (passage if crowd else own(60)) + own(90)
+                b = list(a)
+                for at in rng.sample(range(150), 150 * (100 - s) // 100):
+                    b[at] = own(1)[0]
+                level[len(rows)] = crowd, s
+                rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    rows += [(10**6 + i, " ".join(passage + own(90))) for i in range(1000)]
+    cls = classes_of(spark, rows)
+    found = collections.Counter(x for k, x in level.items() if cls[k] == cls[k + 1])
+    share = {x: found[x] / n for x in set(level.values())}
+    # 0.92 is expected at 0.80; a sample of 60 strays by 0.04
+    assert all(v >= (0.84 if s == 80 else 0.95) for (_, s), v in share.items()), share
+    assert all(cls[i] == i for i in cls if i >= 10**6)
+
+
 def test_crowd_bound_spares_no_near_pair():
     rng = random.Random(13)
     words = []
@@ -610,6 +633,22 @@ def test_quality_learns():
     assert np.mean(p == np.array([y for y, _ in test])) > 0.9
 
 
+def test_quality_is_the_difference_of_compressed_sizes():
+    import zstandard
+
+    rng = random.Random(16)
+    m = quality_model.fit_texts(labelled(rng, 120, "***!!"))
+    s = quality_model.Scorer(m)
+    for text in ("", None, "short", prose(rng, 3000), "é漢" * 2000):
+        raw, sizes = (text or "").encode(), []
+        for side in (m.good, m.bad):
+            d = zstandard.ZstdCompressionDict(side)
+            blocks = [raw[i : i + quality_model.BLOCK] for i in range(0, len(raw), quality_model.BLOCK)]
+            sizes.append(sum(len(zstandard.ZstdCompressor(level=quality_model.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(b)) for b in blocks))
+        assert s.difference(text) == ((sizes[0] - sizes[1]) / len(raw) if raw else 0)
+        assert s.score(np.array([s.difference(text)]))[0] == pytest.approx(1 / (1 + np.exp(-(m.slope * s.difference(text) + m.intercept))))
+
+
 def test_toxicity_learns_a_pair():
     # neither word tells by itself, both together do
     rng = random.Random(7)
