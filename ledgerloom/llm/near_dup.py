@@ -52,7 +52,7 @@ SMALL = 8
 THRESHOLD = 0.8
 LOT = 64
 #: Bytes of a lot of a crowd (short hashes and counters of its texts), and texts whose pairs are bounded at once.
-CROWD_BYTES, CROWD_BLOCK = 32_000_000, 1_024
+CROWD_BYTES, CROWD_BLOCK = 8_000_000, 1_024
 #: Shortest to longest text of a band.
 BAND = 2.5
 #: Counters of words and of pairs of words that bound the edits of a crowd's pairs, each counted up to LEVELS.
@@ -342,13 +342,16 @@ def crowd_pairs(crowds: DataFrame, bag: DataFrame) -> DataFrame:
     def near(rows: list[dict], others: list[dict], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """The pairs (row, other) whose short hashes are near."""
         words = lambda x: np.frombuffer(x["short"], np.uint32).astype(np.uint64) + np.uint64(2)
-        sims = similarities([(words(rows[x]), words(others[y])) for x, y in pairs])
-        return [pair for pair, s in zip(pairs, sims, strict=True) if s >= 0]
+        out = []
+        for at in range(0, len(pairs), 10_000):
+            some = pairs[at : at + 10_000]
+            sims = similarities([(words(rows[x]), words(others[y])) for x, y in some])
+            out += [pair for pair, s in zip(some, sims, strict=True) if s >= 0]
+        return out
 
     def found(group: list[dict]) -> Iterator[tuple[int, int]]:
         i, j, key = group[0]["i"], group[0]["j"], group[0]["key"]
         every, others = ([x for x in group if x["lot"] == k] for k in (i, j))
-        sets = {x["t"]: set(x["keys"]) for x in every}
         for lo in range(0, len(every), CROWD_BLOCK):
             rows = every[lo : lo + CROWD_BLOCK]
             ra, ga = (np.array([x[c] for x in rows], np.int64) for c in ("r", "guest"))
@@ -360,8 +363,12 @@ def crowd_pairs(crowds: DataFrame, bag: DataFrame) -> DataFrame:
                     apart &= lo + np.arange(len(rows))[:, None] < at + np.arange(len(some))
                 if not apart.any():
                     continue
-                here = zip(*(x.tolist() for x in np.nonzero(apart & maybe_near(rows, some))), strict=True)
-                pairs = [(x, y) for x, y in here if next(k for k in some[y]["keys"] if k in sets[rows[x]["t"]]) == key]
+                pairs, last, mine = [], -1, set()
+                for x, y in zip(*(x.tolist() for x in np.nonzero(apart & maybe_near(rows, some))), strict=True):
+                    if x != last:
+                        last, mine = x, set(rows[x]["keys"])
+                    if next(k for k in some[y]["keys"] if k in mine) == key:
+                        pairs.append((x, y))
                 for x, y in near(rows, some, pairs) if pairs else ():
                     a, b = rows[x]["t"], some[y]["t"]
                     yield (a, b) if a < b else (b, a)
