@@ -20,7 +20,7 @@ the other candidates between components. Where more than SMALL texts share a key
 different components are looked at: a matrix product of small word counts bounds the edits of a pair from below, and
 what it leaves is verified, once however many crowds hold the pair. Only texts of like length (within a factor) meet there. That is
 quadratic in a crowd, but only in bounds: 2,048 counters
-a text, in lots of CROWD_BYTES. No partner is dropped, no group is gathered in one task (members of
+a text, in lots of CROWD_LOT. No partner is dropped, no group is gathered in one task (members of
 a hub travel in lots of LOT), and no links or components come to the driver.
 
 Cases: null text counts as empty; texts without words are compared by exact copies only;
@@ -51,8 +51,8 @@ SHORT, SHORTISH = 20, 30
 SMALL = 8
 THRESHOLD = 0.8
 LOT = 64
-#: Bytes of a lot of a crowd (short hashes and counters of its texts), and texts whose pairs are bounded at once.
-CROWD_BYTES, CROWD_BLOCK = 8_000_000, 1_024
+#: Texts of a lot of a crowd (2 KB of counters each), and texts whose pairs are bounded at once.
+CROWD_LOT, CROWD_BLOCK = 8_192, 1_024
 #: Shortest to longest text of a band.
 BAND = 2.5
 #: Counters of words and of pairs of words that bound the edits of a crowd's pairs, each counted up to LEVELS.
@@ -268,7 +268,7 @@ def _with_text(sides: DataFrame, n: int, texts: DataFrame, names: DataFrame) ->
 
 
 def text_bags(ts: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(t, bag, over, short) of the texts t; short: 32 bits of each word's hash."""
+    """(t, bag, over) of the texts t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher.of()
@@ -280,13 +280,12 @@ def text_bags(ts: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame:
                     b.column("t"),
                     pa.array([x for x, _ in each], pa.binary()),
                     pa.array([x for _, x in each], pa.list_(pa.int64())),
-                    pa.array([(h[at:to] >> np.uint64(32)).astype(np.uint32).tobytes() for at, to in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
                 ],
-                ["t", "bag", "over", "short"],
+                ["t", "bag", "over"],
             )
 
     found = _with_text(ts, ts.count(), texts, names).select("t", "text")
-    return found.mapInArrow(run, "t bigint, bag binary, over array<bigint>, short binary").dropDuplicates(["t"])
+    return found.mapInArrow(run, "t bigint, bag binary, over array<bigint>").dropDuplicates(["t"])
 
 
 def maybe_near(rows: list[dict], others: list[dict]) -> np.ndarray:
@@ -316,39 +315,26 @@ def crowd_pairs(crowds: DataFrame, bag: DataFrame) -> DataFrame:
     """(a, b): all pairs of texts of a crowd (key, t, words, r) with different components r that may be near, a < b.
 
     A crowd is dealt by bands of length, BAND apart. Texts at the short end of a band may be near ones at the long end of the band
-    before and are guests there; two guests meet in their own band. A band is dealt in lots of CROWD_BYTES, of which every two
-    meet. What the bounds leave is aligned where it is, by short hashes of words: these can make words equal that are not,
-    never the other way, so no near pair is lost; `verify` has the last word. A pair is given by the least key of the crowds
-    that hold both texts.
+    before and are guests there; two guests meet in their own band. A band is dealt in lots of CROWD_LOT, of which every two
+    meet. A pair is given by the least key of the crowds that hold both texts.
     """
     texts = crowds.groupBy("t", "r", "words").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most SKETCHES + SHORTISH a text
     each = texts.join(bag, "t").withColumn("key", F.explode("keys"))
     band = F.floor(F.log("words") / np.log(BAND)).cast("int")
     visits = F.when(F.col("words") < F.pow(F.lit(BAND), band) / (THRESHOLD - 0.01), F.array(band, band - 1)).otherwise(F.array(band))
     placed = each.select("*", F.posexplode(visits).alias("guest", "band"))
-    size = 4 * F.col("words") + WORD_BINS + PAIR_BINS
     bands = crowds.select("key", "words", F.explode(visits).alias("band"))
-    lots = bands.groupBy("key", "band").agg(F.ceil(F.sum(size) / CROWD_BYTES).cast("int").alias("lots"))
+    lots = bands.groupBy("key", "band").agg(F.ceil(F.count("*") / CROWD_LOT).cast("int").alias("lots"))
     dealt = placed.join(lots, ["key", "band"])
     dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("t"), F.col("lots")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
     dealt = dealt.select(
-        "key", "band", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), "lot", "guest", "t", "r", "words", "bag", "over", "short", "keys"
+        "key", "band", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), "lot", "guest", "t", "r", "words", "bag", "over", "keys"
     )
     parts = max(int(crowds.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     place = ["key", "band", "i", "j"]
     moved = dealt.repartition(parts, *place).sortWithinPartitions(*place)
 
-    def near(rows: list[dict], others: list[dict], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The pairs (row, other) whose short hashes are near."""
-        words = lambda x: np.frombuffer(x["short"], np.uint32).astype(np.uint64) + np.uint64(2)
-        out = []
-        for at in range(0, len(pairs), 10_000):
-            some = pairs[at : at + 10_000]
-            sims = similarities([(words(rows[x]), words(others[y])) for x, y in some])
-            out += [pair for pair, s in zip(some, sims, strict=True) if s >= 0]
-        return out
-
     def found(group: list[dict]) -> Iterator[tuple[int, int]]:
         i, j, key = group[0]["i"], group[0]["j"], group[0]["key"]
         every, others = ([x for x in group if x["lot"] == k] for k in (i, j))
@@ -363,15 +349,13 @@ def crowd_pairs(crowds: DataFrame, bag: DataFrame) -> DataFrame:
                     apart &= lo + np.arange(len(rows))[:, None] < at + np.arange(len(some))
                 if not apart.any():
                     continue
-                pairs, last, mine = [], -1, set()
+                last, mine = -1, set()
                 for x, y in zip(*(x.tolist() for x in np.nonzero(apart & maybe_near(rows, some))), strict=True):
                     if x != last:
                         last, mine = x, set(rows[x]["keys"])
                     if next(k for k in some[y]["keys"] if k in mine) == key:
-                        pairs.append((x, y))
-                for x, y in near(rows, some, pairs) if pairs else ():
-                    a, b = rows[x]["t"], some[y]["t"]
-                    yield (a, b) if a < b else (b, a)
+                        a, b = rows[x]["t"], some[y]["t"]
+                        yield (a, b) if a < b else (b, a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
