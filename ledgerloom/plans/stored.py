@@ -35,19 +35,19 @@ def index_of(spark, sf_dir) -> str:
 
 
 def bm25_indexed(spark, sf_dir):
-    return _top(I.search(spark, index_of(spark, sf_dir), _one(spark), LAYOUT), 20)
+    return _top(I.search(spark, index_of(spark, sf_dir), _one(spark), LAYOUT, k=20), 20)
 
 
 def bm25_indexed_items(spark, sf_dir):
     """Every benchmark item as a question, from the stored postings."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return _top(I.search(spark, index_of(spark, sf_dir), q, LAYOUT))
+    return _top(I.search(spark, index_of(spark, sf_dir), q, LAYOUT, k=10))
 
 
 def bm25_prefiltered(spark, sf_dir):
-    """The metadata predicate in the scan of the postings; statistics of all documents."""
+    """The metadata predicate in the scan of the documents; statistics of all."""
     ok = S.prefilter(sources=["src1", "src2", "src3", "src4"], exclude_capture="stub", entity="de", year="2009", types=["de", "fr"], exclude_status=("corrupt",))
-    return _top(I.search(spark, index_of(spark, sf_dir), _one(spark, "der die und nicht schen"), LAYOUT, ok), 20)
+    return _top(I.search(spark, index_of(spark, sf_dir), _one(spark, "der die und nicht schen"), LAYOUT, ok, k=20), 20)
 
 
 def index_build(spark, sf_dir):
@@ -64,12 +64,12 @@ def index_upsert(spark, sf_dir):
     changed = docs.where("doc_id % 3 = 0 OR doc_id % 4 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" nation shall")))
     I.update(path, LAYOUT, changed, docs.where("doc_id % 11 = 0 AND doc_id % 4 <> 0 AND doc_id % 3 <> 0").select(F.col("doc_id").alias("uid")))
     I.update(path, LAYOUT, docs.where("doc_id % 13 = 0"), None)
-    return _top(I.search(spark, path, _one(spark), LAYOUT), 20)
+    return _top(I.search(spark, path, _one(spark), LAYOUT, k=20), 20)
 
 
 def hybrid_search(spark, sf_dir):
     """Stored postings and vectors, fused: vectors of the same ids, and the question's vector."""
-    a = I.search(spark, index_of(spark, sf_dir), _one(spark), LAYOUT).withColumn("score", F.round("score", 6))
+    a = I.search(spark, index_of(spark, sf_dir), _one(spark), LAYOUT, k=100).withColumn("score", F.round("score", 6))
     a = S.top_k(a, 100, ["qid"], [F.col("score"), F.col("id")])
     e = table(spark, sf_dir, "embeddings")
     b = S.vector_search(e, e.where("vec_id = 7").select(F.lit(0).alias("qid"), "embedding"), 100)
