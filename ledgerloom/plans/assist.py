@@ -36,10 +36,10 @@ def question_plans(spark, sf_dir):
 def document_tool(spark, sf_dir):
     """The first hits of the stored index as evidence, for a question with hits and one without."""
     q = _one(spark).unionByName(spark.range(1).select(F.lit(1).alias("qid"), F.lit("qqzzqq").alias("text")))
-    hits = I.search(spark, index_of(spark, sf_dir), q, LAYOUT).withColumn("score", F.round("score", 6))
+    hits = I.search(spark, index_of(spark, sf_dir), q, LAYOUT, k=10).withColumn("score", F.round("score", 6))
     top = R.top_k(hits, 10, ["qid"], [F.col("score"), F.col("id")])
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.when(F.col("doc_id") % 7 == 0, "corrupt").otherwise("stable").alias("okf_status"))
-    r = A.document_results(top.join(d, "id").withColumn("escalate", F.lit(False)), q)
+    r = A.document_results(F.broadcast(top).join(d, "id").withColumn("escalate", F.lit(False)), q)
     return r.select("qid", "ok", "n_evidence", F.array_join(F.transform("evidence", lambda x: x["id"]), ",").alias("ids"), F.array_join("notes", ",").alias("notes"))
 
 
