@@ -64,12 +64,14 @@ def houses_apart(found: DataFrame, name: str) -> DataFrame:
 def longest_names(questions: DataFrame, lexicon: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:
     """(qid, key, name, rank): names contained in a question, longest first, each key once.
 
-    Questions are short, so every substring of the lexicon's name lengths is probed by equality."""
-    lens = lexicon.agg(F.min(F.length("name")).alias("lo"), F.max(F.length("name")).alias("hi"))
+    Questions are short, so every substring of a length that the lexicon's names have is probed by equality, once a question: repeats
+    go where they are made, no task holds the substrings of many questions."""
+    lens = lexicon.agg(F.array_sort(F.collect_set(F.length("name"))).alias("lens"))  # a row of as many numbers as names have lengths
     q = questions.select(F.col(qid).alias("qid"), F.col(text).alias("t")).join(F.broadcast(lens))
-    at = q.select("qid", "t", "lo", "hi", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("i"))
-    subs = at.select("qid", F.explode(F.transform(F.filter(F.sequence("lo", "hi"), lambda n: n <= F.length("t") - F.col("i") + 1), lambda n: F.substring("t", F.col("i"), n))).alias("name"))
-    hit = subs.distinct().join(lexicon.select("name", "key"), "name")
+    fits = F.filter("lens", lambda n: (n > 0) & (n <= F.length("t")))
+    each = F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring("t", i, n)))
+    subs = q.select("qid", F.explode(F.array_distinct(F.flatten(each))).alias("name"))
+    hit = subs.join(lexicon.select("name", "key"), "name")
     best = hit.groupBy("qid", "key").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"))
     w = W.partitionBy("qid").orderBy(F.length("name").desc(), "name")
     return best.withColumn("rank", F.row_number().over(w))

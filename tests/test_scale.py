@@ -1,6 +1,7 @@
 """Rules that hold at any size: what a query sends, keeps and reads."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators import answers, search, stored_index
+from ledgerloom.operators import answers, holdings, indexing, knowledge, search, stored_index
 
 
 def test_claims_are_unpacked_by_their_own_schema(spark):
@@ -67,3 +68,15 @@ def test_metadata_stand_once_a_document(spark, tmp_path):
     layout = stored_index.Layout("id", carry=("m",), buckets=2)
     stored_index.build(spark.createDataFrame([(1, "a b a", "x")], "id int, text string, m string"), f"{tmp_path}/i", layout)
     assert "m" not in spark.read.parquet(f"{tmp_path}/i/postings").columns and "m" in spark.read.parquet(f"{tmp_path}/i/docs").columns
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_substrings_of_many_questions_meet_in_no_task(spark):
+    q = spark.createDataFrame([(1, "aaaa bb"), (2, ""), (3, "b"), (4, None)], "qid int, text string")
+    lex = spark.createDataFrame([("aa", 1), ("bb", 2), ("a bb", 3), ("b" * 40, 4)], "name string, key int")
+    got = knowledge.longest_names(q, lex)
+    assert sorted(tuple(r) for r in got.select("qid", "name", "rank").collect()) == [(1, "a bb", 1), (1, "aa", 2), (1, "bb", 3)]
+    assert not re.search(r"Aggregate \[qid#\d+L?, name#\d+\]", _plan(got))
