@@ -80,3 +80,10 @@ def test_substrings_of_many_questions_meet_in_no_task(spark):
     got = knowledge.longest_names(q, lex)
     assert sorted(tuple(r) for r in got.select("qid", "name", "rank").collect()) == [(1, "a bb", 1), (1, "aa", 2), (1, "bb", 3)]
     assert not re.search(r"Aggregate \[qid#\d+L?, name#\d+\]", _plan(got))
+
+
+def test_positions_are_dealt_before_they_are_sorted(spark):
+    rows = spark.createDataFrame([(1, None, 2, "a"), (1, None, 3, "a"), (1, "p", 4, "a"), (1, "p", 5, None)], "k int, c string, v bigint, d string")
+    got = holdings.aggregate_positions(rows, ["k", "c"], ["v"], {"d": F.lit("MULTIPLE")})
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, None, 5, 2, "a"), (1, "p", 9, 2, "MULTIPLE")]))
+    assert "RepartitionByExpression" in _plan(got) and "distinct" not in _plan(got)
